@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .arrays import U, Words, chunks, shingle_sets, utf8
 from .components import component_labels
-from .scratch import written
+from .joins import attached
+from .scratch import pointed, written
 
 N = 5
 #: The threshold as a fraction of integers: 100 * intersection >= 80 * union.
@@ -344,6 +345,12 @@ def ngram_components(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, n: int = N) -> DataFrame:
-    """One document of each group stays: the one of the smallest doc_id. Of rows that share this doc_id, one stays."""
-    labels = ngram_components(docs, n).where("component_id = doc_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(labels, docs["doc_id"].eqNullSafe(labels["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group stays, the one of the smallest doc_id; of rows that share a doc_id, one. Rows whose doc_id is null stay."""
+    found = written(ngram_components(docs, n).select("doc_id", "component_id"), "components")
+    gone = pointed(found.where("component_id != doc_id").select(F.col("doc_id").alias("gone")).distinct())
+    kept = attached(docs, gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    twice = pointed(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice")))
+    if twice.isEmpty():
+        return kept
+    once = attached(kept, twice, F.col("doc_id") == F.col("twice"), "left_anti")
+    return once.unionByName(attached(kept, twice, F.col("doc_id") == F.col("twice"), "left_semi").dropDuplicates(["doc_id"]))

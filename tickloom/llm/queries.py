@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_count, fingerprint, katz, line_dedup, mixing, ngram_join, packing, quality
+from . import bpe_count, fingerprint, katz, license_scan, line_dedup, mixing, ngram_join, packing, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,16 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files source/thousand/hundred/doc_id."""
+    path = F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.expr("doc_id div 100"), "doc_id")
+    return license_scan.scan(_table(spark, sf_dir, "documents").withColumn("path", path))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(_table(spark, sf_dir, "documents"))
 
@@ -50,5 +61,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).drop("p_good")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op5_katz, op6_packing, op7_mixing, op8_token_counts, op9_fingerprints, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_license_scan, op4_warc, op5_katz, op6_packing, op7_mixing, op8_token_counts, op9_fingerprints, op10_quality_rules)}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+             q as (select page_id, strlen(h) as n, sha1(h) as d, max(page_id) over (partition by h) as m from p)
+        select page_id, n as payload_bytes, d as payload_digest,
+               case when n >= 1000 and page_id <> m then 'revisit' else 'response' end as record_type,
+               case when n >= 1000 and page_id <> m then m end as refers_to
+        from q""",
+}
