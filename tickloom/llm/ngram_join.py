@@ -303,6 +303,15 @@ def _set_rows(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([_class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "set"])
 
 
+def _enough(pairs: DataFrame) -> DataFrame:
+    """Pairs (hub, member) that can reach the threshold, of a row (hub, member, n, m) for each shingle that the
+    first shingles of both hold. Of the set whose first shingles end earlier in the order, all that it has in
+    common with the other lies among the shared first shingles or behind its own."""
+    least = F.expr(f"-((-{PERCENT} * (n + m)) div {100 + PERCENT}) + ((-greatest(n, m) * {PERCENT}) div 100) + 1")
+    pairs = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT)
+    return pairs.groupBy("hub", "member", "n", "m").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("hub", "member")
+
+
 def ngram_components(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, n_shingles, class and component_id (the smallest doc_id that links reach) of every document."""
     spark = docs.sparkSession
@@ -321,8 +330,8 @@ def ngram_components(docs: DataFrame, n: int = N) -> DataFrame:
     reps = classes.select("class", "rep")
 
     hubs = shared.groupBy("token").agg(F.min_by(F.struct("class", "n"), F.xxhash64("class")).alias("h"))
-    near = F.least("n", "h.n") * 100 >= F.greatest("n", "h.n") * PERCENT
-    first = shared.join(hubs, "token").where((F.col("class") != F.col("h.class")) & near).select(F.col("h.class").alias("hub"), F.col("class").alias("member")).distinct()
+    first = shared.join(hubs, "token").where(F.col("class") != F.col("h.class")).select(F.col("h.class").alias("hub"), F.col("class").alias("member"), F.col("h.n").alias("n"), F.col("n").alias("m"))
+    first = _enough(first)
     none = spark.createDataFrame([], "class long, component long")
     links = written(linked(first, docs, reps, none, n), "links")
     labels = component_labels(links)
@@ -331,9 +340,8 @@ def ngram_components(docs: DataFrame, n: int = N) -> DataFrame:
     mixed = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
     open_ = marked.join(mixed, "token")
     o = open_.select("token", F.col("class").alias("member"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = open_.join(o, "token").where((F.col("component") < F.col("other")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT))
-    second = pairs.select(F.least("class", "member").alias("hub"), F.greatest("class", "member").alias("member")).distinct()
-    second = written(second, "second")
+    pairs = open_.join(o, "token").where(F.col("component") < F.col("other"))
+    second = written(_enough(pairs.select(F.col("class").alias("hub"), "member", "n", "m")), "second")
     if not second.isEmpty():
         links = links.union(written(linked(second, docs, reps, labels, n), "links"))
         labels = component_labels(links)
