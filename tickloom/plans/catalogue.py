@@ -1,6 +1,496 @@
-"""Every query of the engine with the SQL that checks it."""
+"""Every query of the engine with the SQL that checks it.
+
+Queries round what they return, since sums of doubles depend on the order of the rows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import aggregates as A
+from ..functions import scalars as S
+from ..operators import clean, cross, folds, market, metrics, order, runs, sequences, transaction
+from ..operators import windows as W
+from ..sources import adapters
+from . import sql as Q
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(rows: DataFrame, digits: int = 6, shift: float = 0.0) -> DataFrame:
+    """Fractions rounded, whole numbers as 64 bits."""
+    kinds = {"double": lambda c: F.round(F.col(c) + shift, digits), "float": lambda c: F.round(F.col(c).cast("double"), digits), "int": lambda c: F.col(c).cast("long"), "smallint": lambda c: F.col(c).cast("long")}
+    return rows.select(*((kinds[t](n).alias(n) if t in kinds else n) for n, t in rows.dtypes))
+
+
+def _txn_context(txn: DataFrame) -> DataFrame:
+    return txn.groupBy("sample_id").agg(S.as_single(F.max("price")).alias("reference"))
+
+
+def _txn(spark, sf_dir) -> DataFrame:
+    t = adapters.transactions(spark, sf_dir)
+    return transaction.derive(t, _txn_context(t))
+
+
+def _ord(spark, sf_dir) -> DataFrame:
+    return order.derive(adapters.orders(spark, sf_dir), market.context(market.derive(adapters.snapshots(spark, sf_dir))))
+
+
+def _wide(spark, sf_dir) -> DataFrame:
+    """All blocks of the suppliers' samples; orders serve as trades too."""
+    snaps, orders = market.derive(adapters.snapshots(spark, sf_dir)), adapters.orders(spark, sf_dir)
+    context = market.context(snaps)
+    m = market.global_stats(snaps).join(W.wide(market.block_long(snaps), "market", market.WINDOWS, market.zeros()), "sample_id", "left")
+    return cross.joined(m, order.block(orders, context), transaction.block(orders.drop("order_action"), context))
+
+
+# --- flagship -------------------------------------------------------------------------------------
+
+
+@query(f"""with {Q.TXN}, {Q.LABELS}, s as (
+    select sample_id, sum(case when side = 0 then volume else -volume end) as v, sum(volume) as n from txn where seconds <= 10 group by 1), j as (
+    select month, target, coalesce(case when n <> 0 then v / n else 0e0 end, 0e0) as p from lab left join s using (sample_id) where sample_id in (select sample_id from txn))
+    select month, count(*) as n, round({Q.cos("target", "p")}, 6) as score from j group by grouping sets ((), (month))""")
+def txn_imbalance_w10_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggressive-volume imbalance of the last 10 s against the target, over all and by month."""
+    txn = adapters.transactions(spark, sf_dir)
+    signed = F.when(F.col("side") == 0, F.col("volume")).otherwise(-F.col("volume"))
+    spine = txn.select("sample_id").distinct()
+    flow = txn.where("seconds <= 10").groupBy("sample_id").agg(S.ratio(A.group_sum(signed), A.group_sum(F.col("volume"))).alias("prediction"))
+    rows = adapters.labels(spark, sf_dir).join(spine, "sample_id").join(flow, "sample_id", "left").withColumn("prediction", F.coalesce("prediction", F.lit(0.0)))
+    return rounded(metrics.cosine_scores(rows))
+
+
+# --- aggregates -----------------------------------------------------------------------------------
+
+
+@query(f"with {Q.TXN} select sample_id, count(*) filter (where side = 0 and seconds <= 5) as n, round(coalesce(sum(volume) filter (where side = 0 and seconds <= 5), 0), 6) as volume from txn group by 1")
+def group_count_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    txn, use = adapters.transactions(spark, sf_dir), (F.col("side") == 0) & (F.col("seconds") <= 5)
+    return rounded(txn.groupBy("sample_id").agg(A.group_count(use).alias("n"), A.group_sum(F.col("volume"), use).alias("volume")))
+
+
+@query(f"with {Q.TXN} select sample_id, round(sum(price * volume) filter (where volume > 0 and side = 1) / sum(volume) filter (where volume > 0 and side = 1), 6) as vwap from txn group by 1")
+def group_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    txn = adapters.transactions(spark, sf_dir)
+    return rounded(txn.groupBy("sample_id").agg(A.group_weighted_mean(F.col("price"), F.col("volume"), F.col("side") == 1).alias("vwap")))
+
+
+@query(f"with {Q.TXN} select sample_id, round(arg_min(price, row_seq), 6) as first_price, round(arg_max(price, row_seq), 6) as last_price, round(arg_max(price, row_seq) filter (where side = 1), 6) as last_sell from txn group by 1")
+def group_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("price")
+    return rounded(adapters.transactions(spark, sf_dir).groupBy("sample_id").agg(A.group_first(p).alias("first_price"), A.group_last(p).alias("last_price"), A.group_last(p, F.col("side") == 1).alias("last_sell")))
+
+
+_STATS = ("first", "last", "mean", "std", "min", "max", "delta", "slope", "sum", "count")
+
+
+@query(f"with {Q.TXN} select sample_id, {Q.rounded(Q.series('price', 'price', _STATS, 'seconds <= 20'), 6, Q.OFF_TIES)} from txn group by 1")
+def series_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = A.series("price", F.col("price"), _STATS, F.col("seconds") <= 20)
+    return rounded(adapters.transactions(spark, sf_dir).groupBy("sample_id").agg(*(v.cast("double").alias(k) for k, v in stats.items())), 6, 1e-9)
+
+
+@query(f"with {Q.ORD} select sample_id, round(case when max(seconds) > min(seconds) then regr_slope(price, -seconds) else 0 end, 6) as slope from ord where seconds <= 2 group by 1")
+def series_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(adapters.orders(spark, sf_dir).where("seconds <= 2").groupBy("sample_id").agg(A.slope(F.col("price"), F.col("seconds")).alias("slope")))
+
+
+@query(f"with {Q.TXN} select sample_id, row_seq, round(coalesce(last_value(case when side = 0 then price end ignore nulls) over (partition by sample_id order by row_seq rows between unbounded preceding and current row), first_value(case when side = 0 then price end ignore nulls) over (partition by sample_id order by row_seq rows between current row and unbounded following), 1e0), 6) as filled from txn")
+def grouped_ffill_bfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    txn = adapters.transactions(spark, sf_dir)
+    return rounded(txn.select("sample_id", "row_seq", W.filled(F.when(F.col("side") == 0, F.col("price")), F.lit(1.0)).alias("filled")))
+
+
+@query(f"with {Q.TXN}, s as (select *, lag(seconds) over (partition by sample_id order by row_seq) as prev from txn) select sample_id, count(*) as n, {Q.rounded(Q.series('gap', '(prev - seconds)', ('mean', 'std', 'max')))} from s where prev <= 10 and seconds <= 10 group by 1")
+def transition_mask_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = W.in_windows(W.with_lags(adapters.transactions(spark, sf_dir), "seconds"), (10,)).where(W.transition())
+    gap = A.series("gap", F.col("prev_seconds") - F.col("seconds"), ("mean", "std", "max"))
+    return rounded(rows.groupBy("sample_id").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in gap.items())))
+
+
+@query(f"with {Q.TXN}, s as (select *, lag(seconds) over w as prev, (side = lag(side) over w)::int as same from txn window w as (partition by sample_id order by row_seq)) select sample_id, round(avg(same), 6) as persistence from s where prev <= 30 and seconds <= 30 group by 1")
+def direction_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = W.in_windows(W.with_lags(adapters.transactions(spark, sf_dir), "seconds", "side"), (30,)).where(W.transition())
+    return rounded(rows.groupBy("sample_id").agg(F.avg((F.col("side") == F.col("prev_side")).cast("double")).alias("persistence")))
+
+
+# --- cleaning -------------------------------------------------------------------------------------
+
+
+@query(f"with {Q.SNAP} select case when a1 > 0 and av1 > 0 then 'valid' when a1 = 0 and av1 = 0 then 'missing' else 'inconsistent' end as ask, case when b1 > 0 and bv1 > 0 then 'valid' when b1 = 0 and bv1 = 0 then 'missing' else 'inconsistent' end as bid, count(*) as n from snap group by 1, 2")
+def book_level_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    rows = adapters.snapshots(spark, sf_dir)
+    return rows.groupBy(clean.strictly(clean.book_level_state(c("ask_price_1"), c("ask_volume_1"))).alias("ask"), clean.book_level_state(c("bid_price_1"), c("bid_volume_1")).alias("bid")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {Q.DERIVED} select trade as state, count(*) as n from m1 group by 1")
+def market_trade_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return adapters.snapshots(spark, sf_dir).groupBy(clean.trade_state(c("transaction_avgprice"), c("transaction_volume"), c("transaction_count")).alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("with r as (select user_id as sample_id, row_number() over (order by user_id, ts, event_id) - 1 as row_seq from events) select sample_id, min(row_seq) as start, count(*) as length, max(row_seq) + 1 as \"end\" from r group by 1")
+def sample_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # Places in a table sorted by sample: the rows of all samples before, and the place within the sample.
+    sizes = events.groupBy("user_id").agg(F.count("*").alias("n"))
+    before = sizes.select("user_id", F.coalesce(F.sum("n").over(Window.orderBy("user_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    rows = events.join(before, "user_id").select(F.col("user_id").alias("sample_id"), (F.col("first") + F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("row_seq"))
+    return rounded(clean.sample_spans(rows))
+
+
+@query(f"with {Q.ORD}, s as (select seconds, lag(seconds) over (partition by sample_id order by row_seq) as prev from ord) select count(*) filter (where prev = seconds) as time_ties, count(*) filter (where seconds > prev) as time_increases, count(*) filter (where seconds > prev) = 0 as ok from s")
+def sequence_order_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.sequence_order(adapters.orders(spark, sf_dir))
+
+
+@query("select c_custkey, round(sign(c_acctbal) * ln(1 + abs(c_acctbal)), 6) as y from customer")
+def signed_log1p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", S.signed_log1p(F.col("c_acctbal")).alias("y")))
+
+
+@query("select c_custkey, round(greatest(least(c_acctbal, 5000), 0), 6) as y, c_acctbal < 0 or c_acctbal > 5000 as was_clipped from customer")
+def clip_with_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("c_acctbal")
+    return rounded(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", S.clip(x, 0.0, 5000.0).alias("y"), S.was_clipped(x, 0.0, 5000.0).alias("was_clipped")))
+
+
+# --- feature blocks -------------------------------------------------------------------------------
+
+_DERIVED = ("mid_filled", "mid_bps", "spread_bps", "microprice_bps", "imbalance_l1", "imbalance_l2", "log_depth_l1", "log_depth_l2", "trade_price_bps", "reference_mid")
+
+
+@query(f"with {Q.DERIVED} select sample_id, row_seq, {Q.rounded({c: c for c in _DERIVED})} from mk")
+def market_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(market.derive(adapters.snapshots(spark, sf_dir)).select("sample_id", "row_seq", *_DERIVED))
+
+
+def _signed_log(x: str) -> str:
+    return f"sign({x}) * ln(1 + abs({x}))"
+
+
+_MARKET = {"rows": "count(*)", "book_valid_l1_rate": "count(*) filter (where ok1) / count(*)::double", "book_valid_l2_rate": "count(*) filter (where ok2) / count(*)::double"}
+for _s in market.SIGNALS:
+    _MARKET |= Q.series(_s, _s, market.SIGNAL_STATS)
+for _s in ("log_depth_l1", "log_depth_l2"):
+    _MARKET |= Q.series(_s, _s, market.DEPTH_STATS)
+_MARKET |= {
+    "trade_volume_logsum": "ln(1 + greatest(sum(pv), 0))", "trade_count_logsum": "ln(1 + greatest(sum(pc), 0))", "has_trade_rate": "count(*) filter (where trade = 'positive') / count(*)::double",
+    "no_trade_rate": "count(*) filter (where trade = 'none') / count(*)::double", "correction_count": "count(*) filter (where trade = 'correction')",
+    "correction_volume_signed_logsum": _signed_log("sum(cv)"), "correction_trade_count_signed_logsum": _signed_log("sum(cc)"),
+    "realized_vol_bps": "sqrt(coalesce(sum(mid_return * mid_return) filter (where prev_seconds <= w), 0))",
+}
+
+
+@query(f"with {Q.DERIVED}, {Q.windows(*market.WINDOWS)} select sample_id, w, {Q.rounded(_MARKET, 5)} from mk join windows on seconds <= w group by 1, 2")
+def market_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(market.block_long(market.derive(adapters.snapshots(spark, sf_dir))), 5)
+
+
+@query(f"with {Q.DERIVED} select sample_id, round(any_value(reference_mid), 6) as market__reference_mid, max(no_valid_mid::int)::double as market__no_valid_mid, count(*)::double as market__row_count, round(arg_min(seconds, row_seq) - arg_max(seconds, row_seq), 6) as market__observed_span, round(arg_max(seconds, row_seq), 6) as market__last_event_seconds from mk group by 1")
+def market_globals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(market.global_stats(market.derive(adapters.snapshots(spark, sf_dir))))
+
+
+@query(f"with {Q.DERIVED} select sample_id, round(sqrt(coalesce(sum(mid_return * mid_return) filter (where prev_seconds <= 60 and seconds <= 60), 0)), 6) as realized_vol from mk group by 1")
+def realized_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.when((F.col("prev_seconds") <= 60) & (F.col("seconds") <= 60), F.col("mid_return"))
+    return rounded(market.derive(adapters.snapshots(spark, sf_dir)).groupBy("sample_id").agg(F.sqrt(A.group_sum(r * r)).alias("realized_vol")))
+
+
+_ORD_DERIVED = f"""{Q.DERIVED}, ctx as (select sample_id, any_value(reference_mid)::float::double as reference from mk group by 1), {Q.ORD}, o1 as (
+    select ord.*, reference, greatest(least(price, 1.5), 0.5) as cp, price < 0.5 or price > 1.5 as was_clipped from ord join ctx using (sample_id)), o2 as (
+    select *, ln(greatest(cp, 1e-12) / reference) * 1e4 as dist, lag(seconds) over (partition by sample_id order by row_seq) as prev_seconds,
+           case when side = 0 then 'buy_' else 'sell_' end || case when order_action = 0 then 'new' else 'cancel' end as category from o1), od as (
+    select *, prev_seconds - seconds as gap, case when abs(dist) < 10 then '0_10' when abs(dist) < 50 then '10_50' when abs(dist) < 200 then '50_200' else '200_plus' end as bucket,
+           (case when side = 0 then 1 else -1 end) * (case when order_action = 0 then 1 else -1 end) * volume as signed from o2)"""
+_ORDER = {
+    "event_count": "count(*)", "event_rate": "count(*) / any_value(w)", "volume_logsum": "ln(1 + sum(volume))", "signed_volume_imbalance": "case when sum(volume) <> 0 then sum(signed) / sum(volume) else 0 end",
+    "cancel_count_rate": "count(*) filter (where order_action = 1) / count(*)::double", "cancel_volume_rate": "case when sum(volume) <> 0 then coalesce(sum(volume) filter (where order_action = 1), 0) / sum(volume) else 0 end",
+    "large_order_rate": "count(*) filter (where volume >= 10000) / count(*)::double", "price_clipped_rate": "count(*) filter (where was_clipped) / count(*)::double",
+    **Q.series("distance_bps", "dist", ("last", "mean", "std", "max")), **Q.series("event_gap", "gap", ("mean", "std", "max"), "prev_seconds <= w"),
+}
+for _c in order.CATEGORIES:
+    _ORDER |= {f"{_c}_count": f"count(*) filter (where category = '{_c}')", f"{_c}_volume_logsum": f"ln(1 + coalesce(sum(volume) filter (where category = '{_c}'), 0))"}
+for _b in order.BUCKETS:
+    _ORDER |= {f"distance_{_b}_count": f"count(*) filter (where bucket = '{_b}')", f"distance_{_b}_volume_logsum": f"ln(1 + coalesce(sum(volume) filter (where bucket = '{_b}'), 0))"}
+
+
+@query(f"with {_ORD_DERIVED}, {Q.windows(*order.WINDOWS)} select sample_id, w, {Q.rounded(_ORDER, 5)} from od join windows on seconds <= w group by 1, 2")
+def order_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(order.block_long(_ord(spark, sf_dir)), 5)
+
+
+@query(f"with {_ORD_DERIVED} select category, count(*) as n, round(sum(volume), 6) as volume from od group by 1")
+def order_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_ord(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.sum("volume").alias("volume")))
+
+
+@query(f"with {_ORD_DERIVED} select sample_id, bucket, count(*) as n, round(max(abs(dist)), 5) as farthest from od group by 1, 2")
+def order_distance_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_ord(spark, sf_dir).groupBy("sample_id", "bucket").agg(F.count("*").alias("n"), F.max(F.abs("distance_bps")).alias("farthest")), 5)
+
+
+_TXN_DERIVED = f"""{Q.TXN}, tctx as (select sample_id, max(price)::float::double as reference from txn group by 1), t1 as (
+    select txn.*, ln(greatest(price, 1e-12) / reference) * 1e4 as bps, lag(seconds) over w as prev_seconds, (side = lag(side) over w)::int::double as same
+    from txn join tctx using (sample_id) window w as (partition by sample_id order by row_seq)), td as (
+    select *, prev_seconds - seconds as gap, case when side = 0 then volume else -volume end as signed from t1)"""
+_TRADES = {
+    "event_count": "count(*)", "event_rate": "count(*) / any_value(w)", "volume_logsum": "ln(1 + sum(volume))", "buy_count": "count(*) filter (where side = 0)", "sell_count": "count(*) filter (where side = 1)",
+    "buy_volume_logsum": "ln(1 + coalesce(sum(volume) filter (where side = 0), 0))", "sell_volume_logsum": "ln(1 + coalesce(sum(volume) filter (where side = 1), 0))",
+    "count_imbalance": "(count(*) filter (where side = 0) - count(*) filter (where side = 1)) / count(*)::double", "volume_imbalance": "case when sum(volume) <> 0 then sum(signed) / sum(volume) else 0 end",
+    "large_trade_rate": "count(*) filter (where volume >= 10000) / count(*)::double", "vwap_bps": "sum(bps * volume) filter (where volume > 0) / sum(volume) filter (where volume > 0)",
+    **Q.series("price_bps", "bps", transaction.PRICE_STATS), **Q.series("event_gap", "gap", ("mean", "std", "max"), "prev_seconds <= w"), "direction_persistence": "avg(same) filter (where prev_seconds <= w)",
+}
+
+
+@query(f"with {_TXN_DERIVED}, {Q.windows(*transaction.WINDOWS)} select sample_id, w, {Q.rounded(_TRADES, 5)} from td join windows on seconds <= w group by 1, 2")
+def transaction_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(transaction.block_long(_txn(spark, sf_dir)), 5)
+
+
+_TRADE_ROWS = "tr as (select *, ln(greatest(price, 1e-12) / reference) * 1e4 as bps, case when side = 0 then volume else -volume end as tsigned from od)"
+
+
+@query(f"""with {_ORD_DERIVED}, {_TRADE_ROWS}, w(w) as (values (1e0), (2e0), (5e0), (10e0), (30e0), (60e0)), f as (
+    select w, sample_id, case when sum(volume) <> 0 then sum(signed) / sum(volume) else 0 end as flow, case when sum(volume) <> 0 then sum(tsigned) / sum(volume) else 0 end as trade,
+           sum(volume) as v, coalesce(sum(volume) filter (where order_action = 1), 0) / sum(volume) as cancel, arg_max(bps, row_seq) as last_bps from tr join w on seconds <= w group by 1, 2), m as (
+    select w, sample_id, exp(arg_max(log_depth_l1, row_seq)) - 1 as depth, arg_max(mid_bps, row_seq) - arg_min(mid_bps, row_seq) as delta,
+           arg_max(microprice_bps, row_seq) filter (where microprice_bps is not null) as micro from mk join w on seconds <= greatest(w, 5) group by 1, 2), s as (
+    select * from (select distinct sample_id from mk) cross join w)
+    select sample_id, w, round(coalesce(flow, 0) * coalesce(trade, 0), 5) as flow_alignment, round(coalesce(flow, 0) - coalesce(trade, 0), 5) as flow_divergence,
+           round(case when abs(depth) > 1e-12 then coalesce(v, 0) / depth else 0 end, 5) as order_volume_per_depth, round(case when abs(depth) > 1e-12 then coalesce(v, 0) / depth else 0 end, 5) as trade_volume_per_depth,
+           round(case when ln(1 + coalesce(v, 0)) > 1e-12 then delta / ln(1 + v) else 0 end, 5) as price_response_per_trade, round(micro - last_bps, 5) as microprice_trade_divergence,
+           round(coalesce(cancel, 0) - abs(coalesce(trade, 0)), 5) as cancel_trade_divergence
+    from s left join f using (sample_id, w) left join m using (sample_id, w)""")
+def cross_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("flow_alignment", "flow_divergence", "order_volume_per_depth", "trade_volume_per_depth", "price_response_per_trade", "microprice_trade_divergence", "cancel_trade_divergence")
+    return rounded(_long(cross.cross(_wide(spark, sf_dir)), "cross__w{}__", cross.WINDOWS, names), 5)
+
+
+def _long(rows: DataFrame, prefix: str, windows, names) -> DataFrame:
+    """Wide columns as a row for each window."""
+    each = F.array(*(F.struct(F.lit(float(w)).alias("w"), *(F.col(prefix.format(w) + n).cast("double").alias(n) for n in names)) for w in windows))
+    return rows.select("sample_id", F.explode(each).alias("x")).select("sample_id", "x.*")
+
+
+_COUNTS = ", ".join(f"count(*) filter (where category = '{c}')::double as n_{c}, coalesce(sum(volume) filter (where category = '{c}'), 0) as v_{c}" for c in order.CATEGORIES)
+_SHARES = f"""with {_ORD_DERIVED}, {Q.windows(*order.WINDOWS)}, s as (select sample_id, w from (select distinct sample_id from mk) cross join windows), g as (
+    select sample_id, w, count(*)::double as n, sum(volume) as v, {_COUNTS} from od join windows on seconds <= w group by 1, 2), c as (
+    select sample_id, w, coalesce(n, 0) as n, coalesce(v, 0) as v, {", ".join(f"coalesce({k}_{c}, 0) as {k}_{c}" for k in "nv" for c in order.CATEGORIES)} from s left join g using (sample_id, w))"""
+
+
+def _sql_ratio(n: str, d: str) -> str:
+    return f"case when {d} > 0 then ({n}) / ({d}) else 0e0 end"
+
+
+def _sql_pressure(p: str, n: str) -> str:
+    return _sql_ratio(f"({p}) - ({n})", f"(({p}) + ({n}))")
+
+
+@query(_SHARES + " select sample_id, w, " + Q.rounded({f"{c}_{k}_share": _sql_ratio(f"{x}_{c}", x) for c in order.CATEGORIES for k, x in (("count", "n"), ("volume", "v"))}) + " from c")
+def derived_category_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"{c}_{k}_share" for c in order.CATEGORIES for k in ("count", "volume")]
+    return rounded(_long(cross.derived(_wide(spark, sf_dir), ("order_category_ratios",)), "order__w{}__", order.WINDOWS, names))
+
+
+_ACT = {x: _sql_pressure(f"{x}_buy_new + {x}_sell_cancel", f"{x}_sell_new + {x}_buy_cancel") for x in "nv"}
+_PRESSURE = {
+    "new_count_imbalance": _sql_pressure("n_buy_new", "n_sell_new"), "cancel_count_imbalance": _sql_pressure("n_sell_cancel", "n_buy_cancel"), "new_volume_imbalance": _sql_pressure("v_buy_new", "v_sell_new"),
+    "cancel_volume_imbalance": _sql_pressure("v_sell_cancel", "v_buy_cancel"), "action_count_pressure": _ACT["n"], "buy_cancel_count_rate": _sql_ratio("n_buy_cancel", "(n_buy_new + n_buy_cancel)"),
+    "sell_cancel_count_rate": _sql_ratio("n_sell_cancel", "(n_sell_new + n_sell_cancel)"), "count_volume_pressure_divergence": f"({_ACT['n']}) - ({_ACT['v']})",
+}
+
+
+@query(_SHARES + " select sample_id, w, " + Q.rounded(_PRESSURE, 6, Q.OFF_TIES) + " from c")
+def derived_order_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_long(cross.derived(_wide(spark, sf_dir), ("order_pressure",)), "order__w{}__", order.WINDOWS, list(_PRESSURE)), 6, 1e-9)
+
+
+@query(f"""with {Q.DERIVED}, {Q.windows(5, 10, 30, 60, 180, 600)}, g as (
+    select sample_id, w, stddev_pop(mid_bps) as sd, sqrt(coalesce(sum(mid_return * mid_return) filter (where prev_seconds <= w), 0)) as rv, avg(spread_bps) as spread, avg(imbalance_l2) as imb,
+           {Q.series("mid", "mid_bps", ("slope",))["mid__slope"]} as slope from mk join windows on seconds <= w group by 1, 2), l as (select * from g where w = 600), s as (
+    select l.sample_id, w.w, l.sd as sd6, l.rv as rv6, l.spread as sp6, l.imb as imb6, l.slope as sl6 from l cross join windows w where w.w < 600)
+    select sample_id, w, round(case when sd6 > 0 then g.sd * sqrt(600 / w) / sd6 else 0 end, 4) as mid_std_regime_ratio, round(case when rv6 > 0 then coalesce(rv, 0) / sqrt(w) / (rv6 / sqrt(600)) else 0 end, 4) as realized_vol_regime_ratio,
+           round(spread - sp6, 4) as spread_mean_change, round(slope - sl6, 4) as mid_slope_change, round(imb - imb6, 4) as imbalance_l2_mean_change from s left join g using (sample_id, w)""")
+def derived_temporal_dynamics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("mid_std_regime_ratio", "realized_vol_regime_ratio", "spread_mean_change", "mid_slope_change", "imbalance_l2_mean_change")
+    return rounded(_long(cross.derived(_wide(spark, sf_dir), ("temporal_dynamics",)), "dynamics__w{}_w600__", (5, 10, 30, 60, 180), names), 4)
+
+
+# --- folds and targets ----------------------------------------------------------------------------
+
+
+@query(f"with {Q.LABELS}, {Q.FOLDS} select fold, case when month between t0 and t1 then 'train' else 'valid' end as part, count(*) as n, min(month) as first_month, max(month) as last_month from lab join folds on month between t0 and t1 or month between v0 and v1 group by 1, 2")
+def month_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = folds.in_folds(adapters.labels(spark, sf_dir))
+    return rounded(rows.groupBy("fold", "part").agg(F.count("*").alias("n"), F.min("month").alias("first_month"), F.max("month").alias("last_month")))
+
+
+def _train(spark, sf_dir) -> DataFrame:
+    return folds.in_folds(adapters.labels(spark, sf_dir)).where("part = 'train'").drop("part")
+
+
+_TRAIN = f"{Q.LABELS}, {Q.FOLDS}, train as (select lab.*, fold from lab join folds on month between t0 and t1)"
+
+
+@query(f"with {_TRAIN}, s as (select *, max(month) over (partition by fold) as latest from train) select fold, count(*) as n, min(month) as first_month from s where month >= latest - 11 group by 1")
+def recent_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(folds.recent_months(_train(spark, sf_dir), 12).groupBy("fold").agg(F.count("*").alias("n"), F.min("month").alias("first_month")))
+
+
+@query(f"with {Q.LABELS} select sample_id, round((target - avg(target) over (partition by month)) / stddev_pop(target) over (partition by month), 6) as scaled from lab")
+def target_zscore_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(folds.normalized(adapters.labels(spark, sf_dir), "monthly_zscore").select("sample_id", "scaled"))
+
+
+@query(f"with {Q.LABELS} select sample_id, round(target / stddev_pop(target) over (partition by month), 6) as scaled from lab")
+def target_std_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(folds.normalized(adapters.labels(spark, sf_dir), "monthly_std").select("sample_id", "scaled"))
+
+
+@query(f"with {Q.LABELS}, q as (select quantile_cont(target, [0.01, 0.99]) as q from lab) select sample_id, round(greatest(least(target, q[2]), q[1]) + 1e-9, 6) as target from lab, q")
+def target_clip_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(folds.clip_target(adapters.labels(spark, sf_dir), (0.01, 0.99)).select("sample_id", "target"), 6, 1e-9)
+
+
+@query(f"with {Q.LABELS}, r as (select *, pow(0.5e0, (max(month) over () - month) / 12e0) as raw from lab) select sample_id, round(raw / avg(raw) over (), 6) as weight from r")
+def recency_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(folds.recency_weights(adapters.labels(spark, sf_dir), 12).select("sample_id", "weight"))
+
+
+_BOUNDS = f"{_TRAIN}, long as (select fold, 'a' as feature, a as x from train union all select fold, 'b', b from train), bounds as (select fold, feature, quantile_cont(x, 0.001) as low, quantile_cont(x, 0.999) as high, avg((x is null)::int) as missing_rate from long group by 1, 2)"
+
+
+@query(f"with {_BOUNDS} select fold, feature, round(low, 6) as low, round(high, 6) as high, round(missing_rate, 6) as missing_rate from bounds")
+def fold_clip_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(folds.clip_bounds(_train(spark, sf_dir), ["a", "b"], (0.001, 0.999)))
+
+
+@query(f"with {_BOUNDS}, p as (select fold, max(low) filter (where feature = 'a') as la, max(high) filter (where feature = 'a') as ha, max(low) filter (where feature = 'b') as lb, max(high) filter (where feature = 'b') as hb from bounds group by 1), v as (select lab.*, fold from lab join folds on month between v0 and v1) select sample_id, fold, round(greatest(least(a, ha), la), 6) as a, round(greatest(least(b, hb), lb), 6) as b from v join p using (fold)")
+def fold_clip_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = folds.in_folds(adapters.labels(spark, sf_dir))
+    bounds = folds.clip_bounds(rows.where("part = 'train'"), ["a", "b"], (0.001, 0.999))
+    return rounded(folds.clipped(rows.where("part = 'valid'"), bounds, ["a", "b"]).select("sample_id", "fold", "a", "b"))
+
+
+# --- metrics --------------------------------------------------------------------------------------
+
+
+@query(f"with {Q.LABELS}, m as (select month, {Q.cos('target', 'a')} as score from lab group by 1) select round((select {Q.cos('target', 'a')} from lab), 6) as global_score, round(avg(score), 6) as monthly_mean, round(stddev_pop(score), 6) as monthly_std, arg_min(month, score) as worst_month, round(min(score), 6) as worst_score from m")
+def cosine_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.cosine_report(adapters.labels(spark, sf_dir), prediction="a"))
+
+
+@query(f"with {Q.LABELS} select 'first' as baseline, round({Q.cos('target', 'a')}, 6) as global_score from lab union all select 'second', round({Q.cos('target', 'b')}, 6) from lab")
+def baseline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.baseline_report(adapters.labels(spark, sf_dir), {"first": "a", "second": "b", "absent": "c"}))
+
+
+_GATE = f"""{Q.LABELS}, {Q.FOLDS}, v as (select lab.*, fold from lab join folds on month between v0 and v1), s as (
+    select fold, 'model' as name, {Q.cos("target", "(a + b)")} as score from v group by 1 union all select fold, 'first', {Q.cos("target", "a")} from v group by 1 union all select fold, 'second', {Q.cos("target", "b")} from v group by 1), m as (select name, avg(score) as mean from s group by 1)"""
+
+
+@query(f"""with {_GATE}, f as (select fold, max(score) filter (where name = 'model') as model, max(score) filter (where name <> 'model') as signal from s group by 1), late as (select bool_and(model > signal) as ok from (select * from f order by fold desc limit 2)), b as (select arg_max(name, mean) as name, max(mean) as mean from m where name <> 'model'), a as (select mean from m where name = 'model')
+    select round(a.mean, 6) as model_fold_mean, b.name as best_baseline, round(b.mean, 6) as best_baseline_fold_mean, ok as late_folds_passed, a.mean > b.mean as mean_passed, a.mean > b.mean and ok as passed from a, b, late""")
+def baseline_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = folds.in_folds(adapters.labels(spark, sf_dir)).where("part = 'valid'")
+    t = F.col("target")
+    scores = valid.groupBy("fold").agg(*(A.cosine(t, x).alias(n) for n, x in (("model", F.col("a") + F.col("b")), ("first", F.col("a")), ("second", F.col("b")))))
+    rows = scores.select("fold", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("score")) for n in ("model", "first", "second")))).alias("s")).select("fold", "s.*")
+    return rounded(metrics.baseline_gate(rows))
+
+
+# --- runs -----------------------------------------------------------------------------------------
+
+
+def _run(spark, sf_dir, column: str) -> DataFrame:
+    """Validation rows with a prediction."""
+    rows = folds.in_folds(adapters.labels(spark, sf_dir)).where("part = 'valid'")
+    return rows.select("sample_id", "month", "target", "fold", F.col(column).alias("prediction"))
+
+
+_RUNS = f"{Q.LABELS}, {Q.FOLDS}, v as (select sample_id, month, target, fold, a, b from lab join folds on month between v0 and v1)"
+
+
+@query(f"with {_RUNS} select sample_id, round((a + b + (a - b)) / 3, 6) as prediction from v")
+def seed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = folds.in_folds(adapters.labels(spark, sf_dir)).where("part = 'valid'")
+    return rounded(runs.seed_mean(valid.select("sample_id", F.explode(F.array(F.col("a"), F.col("b"), F.col("a") - F.col("b"))).alias("prediction"))))
+
+
+@query(f"with {_RUNS} select sample_id, fold, round(a / 3 + b * 2 / 3, 6) as prediction from v")
+def run_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(runs.ensemble([_run(spark, sf_dir, "a"), _run(spark, sf_dir, "b")], seeds=[1, 2]).select("sample_id", "fold", "prediction"))
+
+
+@query(f"with {_RUNS}, n as (select sqrt(sum(a * a)) as na, sqrt(sum(b * b)) as nb from v) select sample_id, fold, round(0.25e0 * a / na + 0.75e0 * b / nb, 8) as prediction from v, n")
+def run_blend_unit_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(runs.blend([_run(spark, sf_dir, "a"), _run(spark, sf_dir, "b")], [1, 3]).select("sample_id", "fold", "prediction"), 8)
+
+
+@query(f"with {_RUNS}, n as (select sqrt(sum(a * a)) as na, sqrt(sum(b * b)) as nb from v), g as (select range / 100e0 as weight from range(101)), x as (select weight, target, (1 - weight) * a / na + weight * b / nb as p from v, n, g) select weight, round({Q.cos('target', 'p')}, 6) as score from x group by 1")
+def blend_weight_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(runs.weight_search(runs.aligned(_run(spark, sf_dir, "a"), _run(spark, sf_dir, "b"))))
+
+
+@query(f"with {_RUNS}, s as (select avg(a) as m, stddev_pop(a) as d from v) select sample_id, round(sign(a - m) * pow(abs(a - m) / d, 1.1), 6) as prediction from v, s")
+def signed_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(runs.signed_power(_run(spark, sf_dir, "a"), 1.1, center=True).select("sample_id", "prediction"))
+
+
+@query(f"with {Q.LABELS} select sample_id, round(a, 6) as prediction from lab")
+def submission_template_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.labels(spark, sf_dir)
+    template = rows.select("sample_id", F.lit(0.0).alias("prediction"))
+    return rounded(runs.submission(template, rows.select("sample_id", F.col("a").alias("prediction"))))
+
+
+@query("select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 4) as norm from embeddings")
+def vector_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding")
+    return rounded(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.sqrt(S.dot(v, v)).alias("norm")), 4)
+
+
+# --- sequences ------------------------------------------------------------------------------------
+
+
+@query(f"with {Q.TXN}, r as (select *, row_number() over (partition by sample_id order by row_seq desc) as back from txn) select sample_id, row_seq, 20 - back as step, round(price, 6) as price from r where back <= 20")
+def recent_n_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(sequences.recent(adapters.transactions(spark, sf_dir), 20).select("sample_id", "row_seq", "step", "price"))
+
+
+@query(f"with {_TXN_DERIVED}, r as (select *, row_number() over (partition by sample_id order by row_seq desc) as back from td), s as (select distinct sample_id from txn), steps as (select sample_id, range as step from s cross join range(64)) select sample_id, step, back is not null as mask, round((case when back is null then 0 else least(seconds / 60, 1) end)::float::double, 5) as seconds, round(coalesce(ln(1 + volume) / 10, 0)::float::double, 5) as volume from steps left join (select *, 64 - back as step from r) using (sample_id, step)")
+def padded_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = sequences.padded(sequences.transaction_rows(_txn(spark, sf_dir)), 64, [f"f{k}" for k in range(6)])
+    each = seq.select("sample_id", F.posexplode(F.arrays_zip("features", "mask")).alias("step", "x"))
+    return rounded(each.select("sample_id", "step", "x.mask", F.col("x.features")[0].alias("seconds"), F.col("x.features")[4].alias("volume")), 5)
+
+
+_TEN = "case when vol > 0 then greatest(least({}, 10), -10) end"
+
+
+@query(f"""with {_TXN_DERIVED}, c as (select *, (59 - floor(greatest(least(seconds, 60 - 1e-9), 0)))::int as bin from td), g as (
+    select sample_id, bin, coalesce(sum(volume) filter (where side = 0), 0) as bv, coalesce(sum(volume) filter (where side <> 0), 0) as sv, count(*) filter (where side = 0)::double as bn, count(*) filter (where side <> 0)::double as sn,
+           sum(bps * volume) as pv, sum(volume) as vol, max(volume) as most, arg_max(bps, row_seq) as last from c group by 1, 2), every as (select sample_id, range::int as bin from (select distinct sample_id from txn) cross join range(60))
+    select sample_id, bin, {Q.rounded({"g0": "coalesce(ln(1 + bv) / 10, 0)", "g1": "coalesce(ln(1 + sv) / 10, 0)", "g2": "coalesce(ln(1 + bn) / 5, 0)", "g3": "coalesce(ln(1 + sn) / 5, 0)", "g4": "coalesce(case when bv + sv > 0 then (bv - sv) / (bv + sv) end, 0)", "g5": "coalesce((bn - sn) / (bn + sn), 0)", "g6": "coalesce(" + _TEN.format("pv / vol / 100") + ", 0)", "g7": "coalesce(ln(1 + most) / 10, 0)", "g8": "coalesce(" + _TEN.format("last / 100") + ", 0)", "g9": "case when vol is null then 0 else 1 end"}, 5)}
+    from every left join g using (sample_id, bin)""")
+def txn_grid_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(sequences.grid(_txn(spark, sf_dir)), 5)
