@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import SAMPLE
+from .windows import sample
 
 
 def book_level_state(price: Column, volume: Column) -> Column:
@@ -40,6 +40,6 @@ def broken_spans(rows: DataFrame) -> DataFrame:
 
 def sequence_order(rows: DataFrame) -> DataFrame:
     """How often seconds tie or rise within samples; one row. Order is right if they never rise."""
-    steps = rows.select("seconds", F.lag("seconds").over(SAMPLE).alias("prev"))
+    steps = rows.select("seconds", F.lag("seconds").over(sample()).alias("prev"))
     out = steps.agg(F.count_if(F.col("prev") == F.col("seconds")).alias("time_ties"), F.count_if(F.col("seconds") > F.col("prev")).alias("time_increases"))
     return out.withColumn("ok", F.col("time_increases") == 0)

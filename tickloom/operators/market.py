@@ -21,7 +21,7 @@ GLOBALS = ("reference_mid", "no_valid_mid", "row_count", "observed_span", "last_
 def derive(rows: DataFrame) -> DataFrame:
     """Snapshots with prices in basis points of the sample's reference, imbalances, depths and trade parts."""
     col = F.col
-    whole = W.SAMPLE.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = W.sample().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     last = lambda v: F.last(v, ignorenulls=True).over(whole)
     valid = {f"{s}{k}": book_level_state(col(f"{s}_price_{k}"), col(f"{s}_volume_{k}")) == "valid" for s in ("ask", "bid") for k in (1, 2)}
     volume = {n: F.when(v, col(f"{n[:3]}_volume_{n[3]}")).otherwise(0.0) for n, v in valid.items()}

@@ -13,7 +13,7 @@ STEPS = {"market": 212, "transaction": 256, "grid": 60}
 
 def bounded(x: Column, low: float, high: float) -> Column:
     """Within bounds, 0 where missing."""
-    return F.coalesce(F.greatest(F.least(x, F.lit(high)), F.lit(low)), F.lit(0.0))
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low))).otherwise(0.0)  # greatest() skips NULL
 
 
 def ten(x: Column) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE = Window.partitionBy("sample_id").orderBy("row_seq")
+def sample():
+    """Rows of a sample in their order."""
+    return Window.partitionBy("sample_id").orderBy("row_seq")
 
 
 def in_windows(rows: DataFrame, windows: tuple[float, ...]) -> DataFrame:
@@ -22,7 +24,7 @@ def in_windows(rows: DataFrame, windows: tuple[float, ...]) -> DataFrame:
 
 def with_lags(rows: DataFrame, *names: str) -> DataFrame:
     """Columns ``prev_<name>``, taken before any window cuts rows off."""
-    return rows.withColumns({f"prev_{n}": F.lag(n).over(SAMPLE) for n in names})
+    return rows.withColumns({f"prev_{n}": F.lag(n).over(sample()) for n in names})
 
 
 def transition() -> Column:
@@ -32,8 +34,8 @@ def transition() -> Column:
 
 def filled(v: Column, fallback: Column) -> Column:
     """The last value known, else the next one, else the fallback, within a sample."""
-    back = SAMPLE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = SAMPLE.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    back = sample().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = sample().rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return F.coalesce(F.last(v, ignorenulls=True).over(back), F.first(v, ignorenulls=True).over(ahead), fallback)
 
 

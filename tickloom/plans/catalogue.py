@@ -65,15 +65,15 @@ def _wide(spark, sf_dir) -> DataFrame:
 @query(f"""with {Q.TXN}, {Q.LABELS}, s as (
     select sample_id, sum(case when side = 0 then volume else -volume end) as v, sum(volume) as n from txn where seconds <= 10 group by 1), j as (
     select month, target, coalesce(case when n <> 0 then v / n else 0e0 end, 0e0) as p from lab left join s using (sample_id) where sample_id in (select sample_id from txn))
-    select month, count(*) as n, round({Q.cos("target", "p")}, 6) as score from j group by grouping sets ((), (month))""")
+    select coalesce(month, -1) as month, count(*) as n, round({Q.cos("target", "p")}, 6) as score from j group by grouping sets ((), (month))""")
 def txn_imbalance_w10_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aggressive-volume imbalance of the last 10 s against the target, over all and by month."""
+    """Aggressive-volume imbalance of the last 10 s against the target, by month and, as month -1, over all."""
     txn = adapters.transactions(spark, sf_dir)
     signed = F.when(F.col("side") == 0, F.col("volume")).otherwise(-F.col("volume"))
     spine = txn.select("sample_id").distinct()
     flow = txn.where("seconds <= 10").groupBy("sample_id").agg(S.ratio(A.group_sum(signed), A.group_sum(F.col("volume"))).alias("prediction"))
     rows = adapters.labels(spark, sf_dir).join(spine, "sample_id").join(flow, "sample_id", "left").withColumn("prediction", F.coalesce("prediction", F.lit(0.0)))
-    return rounded(metrics.cosine_scores(rows))
+    return rounded(metrics.cosine_scores(rows).withColumn("month", F.coalesce("month", F.lit(-1))))
 
 
 # --- aggregates -----------------------------------------------------------------------------------

@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, ShortType, StringType, StructField, StructType
+
+_KINDS = {"tinyint": ByteType, "smallint": ShortType, "int": IntegerType, "float": FloatType, "double": DoubleType, "string": StringType}
+
+
+def schema(text: str) -> StructType:
+    """A schema from names and types; needs no session."""
+    return StructType([StructField(name, _KINDS[kind]()) for name, kind in (c.split() for c in text.split(","))])
 
 RAW = {
-    "label": StructType.fromDDL("month smallint, sample_id int, target float"),
-    "market": StructType.fromDDL(
+    "label": schema("month smallint, sample_id int, target float"),
+    "market": schema(
         "sample_id int, seconds_before_predict float, transaction_avgprice float, transaction_volume int, transaction_count int, "
         "ask_price_1 float, ask_volume_1 int, bid_price_1 float, bid_volume_1 int, ask_price_2 float, ask_volume_2 int, bid_price_2 float, bid_volume_2 int"
     ),
-    "order": StructType.fromDDL("sample_id int, seconds_before_predict float, price float, volume int, side tinyint, order_action tinyint"),
-    "transaction": StructType.fromDDL("sample_id int, seconds_before_predict float, price float, volume int, side tinyint"),
-    "submission": StructType.fromDDL("sample_id int, prediction double"),
+    "order": schema("sample_id int, seconds_before_predict float, price float, volume int, side tinyint, order_action tinyint"),
+    "transaction": schema("sample_id int, seconds_before_predict float, price float, volume int, side tinyint"),
+    "submission": schema("sample_id int, prediction double"),
 }
-OOF = StructType.fromDDL("sample_id int, month smallint, target float, prediction float, fold string")
+OOF = schema("sample_id int, month smallint, target float, prediction float, fold string")
 
 
 @dataclass(frozen=True)
