@@ -3,7 +3,8 @@
 Of all document rates that give every source its target of words, those of least relative entropy tilt
 each document exponentially by its size: rate = exp(lambda * size / mean size), here at most 3. The
 dual is convex with one multiplier for each source. Newton steps for all sources run together as one
-aggregation over the histogram of sizes, kept inside brackets, until the targets are met. Rates are
+aggregation over the histogram of sizes, inside brackets that every round cuts in sixteen, until the
+targets are met. Rates are
 then rounded into copies: a document gets one more copy if its fraction exceeds a hash of its doc_id
 by more than a threshold of its source, which a radix search over the whole input sets so that the
 words taken come as near to the target as single documents allow.
@@ -29,6 +30,7 @@ from .scratch import pointed
 MOST = 3  # times its own size that a source or a document is taken at most
 WEIGHTS = 3  # weights 1, 2, 3, repeating
 ROUNDS = 100
+CUTS = 16  # parts of a bracket that a round looks at
 EXACT = 1e-6
 FLIPS = 2  # single documents that bring a source nearer to its target afterwards
 DIGIT_BITS, DIGITS = 10, 3
@@ -75,21 +77,26 @@ def multipliers(histogram: DataFrame, aims: DataFrame) -> DataFrame:
     lo = F.when(some & (ratio < 1), F.ln(ratio) / z).otherwise(F.lit(0.0))
     hi = F.when(some & (ratio > 1), F.lit(math.log(MOST)) / z).otherwise(F.lit(0.0))
     state = aims.withColumn("lo", lo).withColumn("hi", hi)
-    state = pointed(state.withColumn("lam", F.when(~some | (ratio == 1), F.lit(0.0)).otherwise(F.greatest("lo", F.least("hi", F.ln(ratio))))).withColumn("open", some & (ratio != 1)))
+    whole = ratio >= MOST * (1 - EXACT / 10)  # every document at its cap
+    start = F.when(~some | (ratio == 1), F.lit(0.0)).when(whole, F.col("hi")).otherwise(F.greatest("lo", F.least("hi", F.ln(ratio))))
+    state = pointed(state.withColumn("lam", start).withColumn("open", some & (ratio != 1) & ~whole))
     for _ in range(ROUNDS):
         if state.where("open").isEmpty():
             break
+        words = lambda lam: F.sum((F.col("n") * F.col("size") * rate(F.col("size"), lam, F.col("mean"))).cast("decimal(30,8)")).cast("double")
+        inner = [F.col("lo") + (F.col("hi") - F.col("lo")) * (k / CUTS) for k in range(1, CUTS)]
         r = rate(F.col("size"), F.col("lam"), F.col("mean"))
-        words = (F.col("n") * F.col("size") * r).cast("decimal(30,8)")
         slope = F.when(r < MOST, F.col("n") * F.col("size") * F.col("size") / F.col("mean") * r).otherwise(F.lit(0.0)).cast("decimal(34,6)")
-        tilted = beside(histogram, state.where("open")).groupBy("source").agg(F.sum(words).cast("double").alias("f"), F.sum(slope).cast("double").alias("g"))
-        s = beside(state, tilted, "left").withColumn("f", F.col("f") - F.col("target"))
-        s = s.withColumn("lo", F.when(F.col("f") < 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("f") > 0, F.col("lam")).otherwise(F.col("hi")))
-        newton = F.when(F.col("g") > 0, F.col("lam") - F.col("f") / F.col("g"))
-        inside = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
-        done = ~F.col("open") | (F.abs("f") <= F.col("target") * EXACT) | (F.col("hi") - F.col("lo") <= F.abs("lam") * 1e-12)
-        s = s.withColumn("done", done)
-        state = pointed(s.select("source", "source_size", "mean", "least", "target", "lo", "hi", F.when(F.col("done"), F.col("lam")).otherwise(inside).alias("lam"), (~F.col("done")).alias("open")))
+        tilted = beside(histogram, state.where("open")).groupBy("source").agg(words(F.col("lam")).alias("f"), F.sum(slope).cast("double").alias("g"), *(words(x).alias(f"f{k}") for k, x in enumerate(inner)))
+        s = beside(state, tilted, "left")
+        points = [(F.col("lam"), F.col("f")), *((x, F.col(f"f{k}")) for k, x in enumerate(inner))]
+        lo = F.greatest("lo", *(F.when(f < F.col("target"), x) for x, f in points))
+        hi = F.least("hi", *(F.when(f > F.col("target"), x) for x, f in points))
+        s = s.withColumns({"new_lo": lo, "new_hi": hi, "off": F.col("f") - F.col("target")})
+        newton = F.when(F.col("g") > 0, F.col("lam") - F.col("off") / F.col("g"))
+        inside = F.when((newton > F.col("new_lo")) & (newton < F.col("new_hi")), newton).otherwise((F.col("new_lo") + F.col("new_hi")) / 2)
+        done = ~F.col("open") | (F.abs("off") <= F.col("target") * EXACT) | (F.col("new_hi") - F.col("new_lo") <= F.abs("lam") * 1e-12)
+        state = pointed(s.select("source", "source_size", "mean", "least", "target", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), F.when(done, F.col("lam")).otherwise(inside).alias("lam"), (~done).alias("open")))
     return state.select("source", "source_size", "mean", "target", "lam")
 
 
