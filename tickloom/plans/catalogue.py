@@ -356,12 +356,12 @@ def recent_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(folds.recent_months(_train(spark, sf_dir), 12).groupBy("fold").agg(F.count("*").alias("n"), F.min("month").alias("first_month")))
 
 
-@query(f"with {Q.LABELS} select sample_id, round((target - avg(target) over (partition by month)) / stddev_pop(target) over (partition by month), 6) as scaled from lab")
+@query(f"with {Q.LABELS} select sample_id, round((target - avg(target) over (partition by month)) / (case when stddev_pop(target) over (partition by month) > 1.1920929e-7 then stddev_pop(target) over (partition by month) else 1 end), 6) as scaled from lab")
 def target_zscore_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(folds.normalized(adapters.labels(spark, sf_dir), "monthly_zscore").select("sample_id", "scaled"))
 
 
-@query(f"with {Q.LABELS} select sample_id, round(target / stddev_pop(target) over (partition by month), 6) as scaled from lab")
+@query(f"with {Q.LABELS} select sample_id, round(target / (case when stddev_pop(target) over (partition by month) > 1.1920929e-7 then stddev_pop(target) over (partition by month) else 1 end), 6) as scaled from lab")
 def target_std_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(folds.normalized(adapters.labels(spark, sf_dir), "monthly_std").select("sample_id", "scaled"))
 
