@@ -7,34 +7,41 @@ from pyspark.sql import functions as F
 
 from .scratch import pointed
 
+#: Links that one task goes over at ease.
+PART_LINKS = 200_000
+
 
 def component_labels(links: DataFrame, a: str = "a", b: str = "b", name: str = "class") -> DataFrame:
     """(name, component) of every node that has a link; the component is its smallest node.
 
     Each round hooks every root to the smallest root beside it and then halves the paths, so that the
-    number of rounds grows with the logarithm of the longest chain. Rounds end in checkpoint()."""
+    number of rounds grows with the logarithm of the longest chain. Rounds end in written tables. Links are
+    counted, and kept in as many partitions as they need: a few thousand are not dealt out at every step."""
     links = pointed(links.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
+    parts = -(-links.count() // PART_LINKS)
+    fitted = (lambda df: df.coalesce(1)) if parts <= 1 else (lambda df: df)
+    links = fitted(links)
     nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    labels = pointed(nodes.select("node", F.col("node").alias("root")))
+    labels = fitted(pointed(nodes.select("node", F.col("node").alias("root"))))
     edges = links
     while True:
         # Edges between roots; those inside a component are finished.
         ru, rv = labels.select(F.col("node").alias("u"), F.col("root").alias("ru")), labels.select(F.col("node").alias("v"), F.col("root").alias("rv"))
         edges = edges.join(ru, "u").join(rv, "v").where("ru != rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
-        edges = pointed(edges)
+        edges = fitted(pointed(edges))
         if edges.isEmpty():
             return labels.select(F.col("node").alias(name), F.col("root").alias("component"))
         hook = edges.groupBy(F.col("v").alias("from")).agg(F.min("u").alias("to"))
-        hook = _jumped(hook)
-        labels = pointed(labels.join(hook, labels["root"] == hook["from"], "left").select("node", F.coalesce("to", "root").alias("root")))
+        hook = _jumped(hook, fitted)
+        labels = fitted(pointed(labels.join(hook, labels["root"] == hook["from"], "left").select("node", F.coalesce("to", "root").alias("root"))))
 
 
-def _jumped(hook: DataFrame) -> DataFrame:
+def _jumped(hook: DataFrame, fitted) -> DataFrame:
     """Follows the hooks to their ends; they always lead to a smaller node."""
-    hook = pointed(hook)
+    hook = fitted(pointed(hook))
     while True:
         nxt = hook.select(F.col("from").alias("to"), F.col("to").alias("nxt"))
-        moved = pointed(hook.join(nxt, "to", "left").select("from", F.coalesce("nxt", "to").alias("to"), F.col("nxt").isNotNull().alias("moved")))
+        moved = fitted(pointed(hook.join(nxt, "to", "left").select("from", F.coalesce("nxt", "to").alias("to"), F.col("nxt").isNotNull().alias("moved"))))
         hook = moved.select("from", "to")
         if moved.where("moved").isEmpty():
             return hook

@@ -11,5 +11,5 @@ MOST_ROWS = 200_000
 
 def attached(rows: DataFrame, table: DataFrame, on, how: str = "inner", most: int = MOST_ROWS) -> DataFrame:
     """rows joined with a table: broadcast if it was counted and is small, else joined by shuffle, where
-    adaptive execution splits skewed keys. The table should be cheap to count, as after a checkpoint."""
+    adaptive execution splits skewed keys. The table should be cheap to count, as a written one is."""
     return rows.join(F.broadcast(table) if table.limit(most + 1).count() <= most else table, on, how)

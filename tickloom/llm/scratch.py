@@ -37,6 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def pointed(df: DataFrame) -> DataFrame:
-    """checkpoint() for small tables, in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The same for small tables that are used more than once or end a round of an iteration. A checkpoint()
+    would hand on the constraints of its plan, which grow from round to round until planning takes longer than
+    the work."""
+    return written(df, "table")
