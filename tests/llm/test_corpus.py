@@ -78,6 +78,22 @@ def test_ngram_join_with_frequent_shingles(spark, near_rows, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in got} == set(want.items())
 
 
+def test_ngram_join_at_the_threshold(spark):
+    """Pairs at exactly 0.8: n and m shingles, 4j of them shared, n + m = 9j."""
+    rows, seed = [], 5000
+    sizes = [(9, 9), (18, 18), (27, 27), (45, 45), (17, 19), (13, 14), (22, 23), (4, 5), (8, 10), (32, 40), (40, 41), (63, 72)] + [(9, 9)] * 30 + [(18, 18)] * 30
+    for n, m in sizes:
+        k = 4 * (n + m) // 9
+        common = prose(seed, k + 4)
+        for i, size in enumerate((n, m)):
+            rows.append((seed + i, " ".join([common, *(f"u{seed}x{i}x{j}" for j in range(size - k))]), "a"))
+        seed += 10
+    _, want, links = by_hand(rows)
+    assert len(links) == len(sizes)
+    got = ngram_join.ngram_components(table(spark, rows)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == set(want.items())
+
+
 def test_tries_find_all_links():
     import numpy as np
 

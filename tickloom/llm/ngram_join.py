@@ -51,6 +51,11 @@ def prefix_length(n: np.ndarray | int):
     return n - -(-n * PERCENT // 100) + 1
 
 
+def ceil_div(x: str, y: int) -> str:
+    """SQL for the ceiling of x / y where x >= 0; Spark's div drops the fraction, so that negated operands give the floor."""
+    return f"((({x}) + {y - 1}) div {y})"
+
+
 def _sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
     return shingle_sets(Words(*utf8(batch.column(1))), n)[0]
 
@@ -307,7 +312,7 @@ def _enough(pairs: DataFrame) -> DataFrame:
     """Pairs (hub, member) that can reach the threshold, of a row (hub, member, n, m) for each shingle that the
     first shingles of both hold. Of the set whose first shingles end earlier in the order, all that it has in
     common with the other lies among the shared first shingles or behind its own."""
-    least = F.expr(f"-((-{PERCENT} * (n + m)) div {100 + PERCENT}) + ((-greatest(n, m) * {PERCENT}) div 100) + 1")
+    least = F.expr(f"{ceil_div(f'{PERCENT} * (n + m)', 100 + PERCENT)} - {ceil_div(f'{PERCENT} * greatest(n, m)', 100)} + 1")
     pairs = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT)
     return pairs.groupBy("hub", "member", "n", "m").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("hub", "member")
 
@@ -318,7 +323,7 @@ def ngram_components(docs: DataFrame, n: int = N) -> DataFrame:
     described = written(describe(docs, n), "shingles")
     documents = described.where("class is not null").select("doc_id", "n_shingles", "class")
     classes = documents.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    p = F.col("n") - F.expr(f"-((-n * {PERCENT}) div 100)") + 1
+    p = F.col("n") - F.expr(ceil_div(f"{PERCENT} * n", 100)) + 1
     totals = classes.agg(F.sum("n").alias("shingles"), F.sum(p).alias("firsts")).first()
     least = max(16, -(-(totals["shingles"] or 0) // FREQUENT))
     frequent = described.where("key is not null").groupBy("key").agg(F.sum("df").alias("df")).where(F.col("df") >= least)
