@@ -94,6 +94,15 @@ def test_ngram_join_at_the_threshold(spark):
     assert {(r.doc_id, r.component_id) for r in got} == set(want.items())
 
 
+def test_ngram_join_over_a_row_without_doc_id(spark):
+    """Two documents that are linked only by way of a row whose doc_id is null."""
+    w = prose(31, 104).split(" ")
+    changed = lambda *at: " ".join("new" if i in at else x for i, x in enumerate(w))
+    rows = [(1, changed(10, 30), "a"), (None, " ".join(w), "a"), (2, changed(60, 80), "a"), (3, prose(32, 50), "b"), (None, prose(33, 50), "b")]
+    got = ngram_join.ngram_components(table(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 1), (1, 1), (2, 1), (3, 3)]
+
+
 def test_tries_find_all_links():
     import numpy as np
 

@@ -283,6 +283,7 @@ def linked(candidates: DataFrame, docs: DataFrame, reps: DataFrame, labels: Data
     size = candidates.groupBy("hub").agg(F.count("*").alias("m"))
     c = candidates.join(size, "hub").withColumn("salt", F.pmod(F.xxhash64("member"), F.expr(f"cast(ceil(m / {TRIE_SETS}) as int)")))
     both = written(c.select("hub", "salt", F.col("member").alias("class")).union(c.select("hub", "salt", F.col("hub").alias("class")).distinct()), "tries")
+    # A class of rows without a doc_id has a null rep, which like every null has one hash and so a bit of its own.
     wanted = written(both.select("class").distinct().join(reps, "class").select("class", "rep"), "wanted")
     bits = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("bit")).groupBy(F.expr("bit div 32768").alias("page")).agg(F.collect_set(F.expr("cast(bit % 32768 as int)")).alias("bits"))
     filled = np.zeros(FILTER_BITS, bool)
@@ -296,7 +297,7 @@ def linked(candidates: DataFrame, docs: DataFrame, reps: DataFrame, labels: Data
             bit = batch.column(2).to_numpy()
             yield from _set_rows(batch.filter(pa.array((table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1)), n)
 
-    scan = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(rows, "class long, set binary")
+    scan = docs.select(F.col("doc_id").cast("long"), "text").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(rows, "class long, set binary")
     sets = scan.groupBy("class").agg(F.first("set").alias("set"))  # repeated rows of one document
     full = both.join(sets, "class").join(labels, "class", "left").select("hub", "salt", "class", F.coalesce("component", "class").alias("component"), "set")
     return full.groupBy("hub", "salt").applyInArrow(_verify, "a long, b long")
