@@ -152,6 +152,21 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0 and line_dedup.digest(docs).count() == len(rows)
 
 
+def test_line_dedup_finds_a_replaced_word(spark):
+    """Lines of 6 to 65 words, each beside a copy in which one word is another."""
+    rows, pairs = [], 0
+    for n in range(6, 66):
+        w = prose(9000 + n, n).split(" ")
+        at = min((k for k in range(n) if len(w[k]) <= 4), key=lambda k: abs(k - n // 2))
+        other = [*w[:at], "zzzz"[: len(w[at])], *w[at + 1 :]]
+        x, y = " ".join(w), " ".join(other)
+        assert distance(x, y) <= 0.2 * len(x)
+        rows += [(2 * n, x, "a"), (2 * n + 1, y, "a")]
+        pairs += 1
+    left = sum(r.text != "" for r in line_dedup.dedup_lines(table(spark, rows)).collect())
+    assert pairs <= left <= 1.05 * pairs
+
+
 def test_simhash_lanes(spark):
     """Lines of few, many and very many words are counted in lanes of other widths; all give the same bits."""
     texts = [(k, prose(k, n)) for k, n in enumerate((1, 2, 127, 128, 300, 33_000))]
