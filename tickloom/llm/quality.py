@@ -116,34 +116,66 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "good", "ids", "vals"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, steps: int = 150, l2: float = 1e-6) -> Model:
-    """Fits on at most ``max_rows`` labelled rows; a fourth of them only serves the calibration."""
+class Sample:
+    """Labelled rows as sparse features, in slices of few rows, so that what a step makes besides the weights is small."""
+
+    SLICE = 128
+
+    def __init__(self, rows: pa.Table):
+        self.good = rows.column("good").to_numpy().astype(np.float64)
+        self.slices = []
+        for at in range(0, rows.num_rows, self.SLICE):
+            part = rows.slice(at, self.SLICE)
+            ids, values = ([np.frombuffer(x, kind) for x in part.column(name).to_pylist()] for name, kind in (("ids", np.int32), ("vals", np.float32)))
+            self.slices.append((at, at + len(ids), np.concatenate(ids), np.concatenate(values), np.repeat(np.arange(len(ids)), [len(x) for x in ids])))
+
+    def logits(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        out = np.full(len(self.good), bias)
+        for lo, hi, col, val, row in self.slices:
+            out[lo:hi] += np.bincount(row, weights[col] * val, hi - lo)
+        return out
+
+    def gradient(self, err: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for lo, hi, col, val, row in self.slices:
+            out += np.bincount(col, err[lo:hi][row] * val, size)
+        return out
+
+
+def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, text, good) of at most ``max_rows`` documents, one row for each doc_id: of several texts the one of the smallest hash."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
     known = known.select("doc_id", (F.col("lo") == 1).cast("int").alias("good"), F.xxhash64("doc_id").alias("r")).orderBy("r", "doc_id").limit(max_rows)
-    pairs = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "good")), "doc_id").select("doc_id", "text", "good")  # max_rows bounds this side
-    rows = sorted(pairs.mapInArrow(_examples, "doc_id long, good int, ids binary, vals binary").collect())
-    good = np.array([r["good"] for r in rows], np.float64)
+    pairs = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "good")), "doc_id")  # max_rows bounds this side
+    return pairs.groupBy("doc_id", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "good")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, steps: int = 150, l2: float = 1e-6) -> Model:
+    """Fits on at most ``max_rows`` labelled documents; a fourth of them only serves the calibration.
+
+    The driver holds the hashed features of the sample, which are at most max_rows * 2**(BITS + 1) numbers and a few MB
+    in texts of ordinary length, and goes over them in slices."""
+    rows = labelled(docs, labels, max_rows).mapInArrow(_examples, "doc_id long, good int, ids binary, vals binary").toArrow().sort_by("doc_id")
+    sample = Sample(rows)
+    del rows
+    good = sample.good
     if len(set(good.tolist())) < 2:
         return Model(None)
-    held = np.arange(len(rows)) % 4 == 3
+    held = np.arange(len(good)) % 4 == 3
     if len(set(good[held].tolist())) < 2 or len(set(good[~held].tolist())) < 2:
         held[:] = False
-    ids = [np.frombuffer(r["ids"], np.int32) for r in rows]
-    off = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-    col, val = np.concatenate(ids), np.concatenate([np.frombuffer(r["vals"], np.float32) for r in rows]).astype(np.float64)
-    row = np.repeat(np.arange(len(rows)), np.diff(off))
     weights, bias, use = np.zeros(2 << BITS), 0.0, ~held
     weight_of = np.where(good == 1, 0.5 / max(1, (good[use] == 1).sum()), 0.5 / max(1, (good[use] == 0).sum())) * use
     m, v, mb, vb = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
-    logit = lambda: np.bincount(row, weights[col] * val, len(rows)) + bias
     for t in range(1, steps + 1):  # Adam on the whole sample
-        err = (1 / (1 + np.exp(-logit())) - good) * weight_of
-        g, gb = np.bincount(col, err[row] * val, len(weights)) + l2 * weights, err.sum()
+        err = (1 / (1 + np.exp(-sample.logits(weights, bias))) - good) * weight_of
+        g, gb = sample.gradient(err, len(weights)) + l2 * weights, err.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, b = 1 - 0.9**t, 1 - 0.99**t
         weights -= 1.0 * (m / a) / (np.sqrt(v / b) + 1e-8)
         bias -= 0.1 * (mb / a) / (np.sqrt(vb / b) + 1e-8)
-    z, y = (logit()[held], good[held]) if held.any() else (logit(), good)
+    logits = sample.logits(weights, bias)
+    z, y = (logits[held], good[held]) if held.any() else (logits, good)
     slope, shift = 1.0, 0.0
     y = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))  # Platt's targets
     for _ in range(50):
