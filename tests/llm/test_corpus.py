@@ -1,5 +1,7 @@
 """Near copies, lines, mixing, licences and archives against plain Python."""
 
+import hashlib
+import random
 from collections import Counter
 
 import duckdb
@@ -116,40 +118,93 @@ def test_tries_find_all_links():
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+    """Edits between two strings, a column of the table in the bits of one number at a time."""
+    if not a or not b:
+        return len(a) + len(b)
+    places, every, last = {}, (1 << len(a)) - 1, 1 << (len(a) - 1)
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    up, down, n = every, 0, len(a)
+    for y in b:
+        eq = places.get(y, 0)
+        zero = (((eq & up) + up) ^ up) | eq | down
+        more, less = down | ~(zero | up) & every, up & zero
+        n += bool(more & last) - bool(less & last)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(zero | more)) & every, more & zero & every
+    return n
+
+
+def test_distance():
+    def plainly(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 12))) for _ in range(2))
+        assert distance(a, b) == plainly(a, b)
+
+
+def alike(a, b):
+    longer = max(len(a), len(b))
+    return abs(len(a) - len(b)) <= 0.2 * longer + 1e-9 and distance(a, b) <= 0.2 * longer + 1e-9
+
+
+def normal(line):
+    return " ".join(w for w in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if w)
 
 
 def test_line_dedup(spark, empty):
+    """Every pair of lines is compared here; null and empty texts, lines of marks alone, repeated rows and lines, very
+    long lines, columns whose names the operator uses."""
     long = prose(21, 140)
     edited = long.replace(" a", " b", 1)
-    rows = [(1, "Alpha beta!\nGamma delta.\n\n--\nunique one", "a"), (2, "gamma   DELTA\nother line\nother line", "a"), (3, long, "b"), (4, "x\n" + edited, "b"), (5, None, "c"), (6, "", None), (7, "--\n\n", "c"), (8, "alpha beta", "c"), (8, "alpha beta", "c"), (9, prose(22, 300) + "\n" + prose(23, 40_000), "c")]
-    docs = table(spark, rows)
-    found = {(r.doc_id, r.place): r.sim for r in line_dedup.occurrences(docs).collect()}
-    norm = {}
-    for i, t, _ in rows:
-        for place, line in enumerate((t or "").split("\n")):
-            if w := [x for x in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if x]:
-                norm[i, place] = " ".join(w)
-    assert set(found) == set(norm)
+    rows = [(1, "Alpha beta!\nGamma delta.\n\n--\nunique one", "a"), (2, "gamma   DELTA\nother line\nother line", "a"), (3, long, "b"), (4, "x\n" + edited, "b"), (5, None, "c"), (6, "", None), (7, "--\n\n", "c"), (8, "alpha beta", "c"), (8, "alpha beta", "c"), (9, prose(22, 300) + "\n" + prose(23, 40_000), "c"), (10, "unique oni\ngamna delta", "d")]
+    docs = table(spark, rows).withColumnsRenamed({"class": "of", "n": "of_version", "token": "places", "size": "version", "line": "d", "target": "kept", "copy": "of version"})
+    norm = {(i, place): x for i, t, _ in rows for place, line in enumerate((t or "").split("\n")) if (x := normal(line))}
+    assert {(r.doc_id, r.place) for r in line_dedup.occurrences(docs).collect()} == set(norm)
     first = {}
     for k in sorted(norm):
         first.setdefault(norm[k], k)
     lines = sorted(first.values())
-    near = lambda a, b: bin((found[a] ^ found[b]) & (1 << 64) - 1).count("1") <= line_dedup.MAX_BITS
-    links = [(a, b) for a in lines for b in lines if a < b and near(a, b) and distance(norm[a], norm[b]) <= 0.2 * max(len(norm[a]), len(norm[b])) + 1e-9]
-    group = joined(links, lines)
+    group = joined([(a, b) for a in lines for b in lines if a < b and alike(norm[a], norm[b])], lines)
     want = {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in norm or group[first[norm[i, p]]] == (i, p)) for i, t, _ in rows}
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
     for r in out.collect():
-        assert r.text == want[r.doc_id] and r.line == "c"
-    assert line_dedup.dedup_lines(empty).count() == 0 and line_dedup.digest(docs).count() == len(rows)
+        assert r.text == want[r.doc_id] and r.d == "c" and r.of == "a"
+    digested = {(r.doc_id, r.n_lines, r.n_kept, r.kept_sha256) for r in line_dedup.digest(docs).collect()}
+    count = lambda t: len(t.split("\n")) if t else 0
+    assert digested == {(i, count(t), count(want[i]), t and want[i] is not None and hashlib.sha256(want[i].encode()).hexdigest() or (None if t is None else hashlib.sha256(b"").hexdigest())) for i, t, _ in rows}
+    assert line_dedup.dedup_lines(empty).count() == 0 and line_dedup.digest(empty).count() == 0
+
+
+def test_line_recall(spark, sf_dir):
+    """Of all pairs of lines that share a pair of words that is not very common and are alike, nine in ten are in one
+    group; lines in one group are joined by pairs that are alike."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    place = {}
+    for d in docs.select("doc_id", "text").collect():
+        for k, line in enumerate((d.text or "").split("\n")):
+            if 15 <= len(x := normal(line)) <= 600:
+                place.setdefault(x, (d.doc_id, k))
+    at = {}
+    for x in place:
+        w = x.split(" ")
+        for pair in set(zip(w, w[1:], strict=False)):
+            at.setdefault(pair, []).append(x)
+    pairs = {(a, b) for held in at.values() if len(held) <= 40 for a in held for b in held if a < b and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b))}
+    links = [(a, b) for a, b in pairs if alike(a, b)]
+    found, lines = line_dedup.line_groups(docs)
+    component = {(r.doc_id, r.place): r.component for r in found.join(lines, "line").select("doc_id", "place", "component").collect()}
+    together = sum(component[place[a]] == component[place[b]] for a, b in links)
+    assert len(links) >= 30 and together >= 0.9 * len(links)
 
 
 def test_line_dedup_finds_a_replaced_word(spark):

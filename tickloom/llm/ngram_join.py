@@ -1,21 +1,24 @@
 """Exact Jaccard join of word n-gram sets by tries over globally ordered sets.
 
 A document's set is its distinct n-word shingles as 64-bit hashes. Documents with equal sets form one
-class. All sets are ordered alike: shingles that are frequent in the corpus last, by their count, the
-others before them by hash. Two sets can only reach the threshold if they share one of their first
-``n - ceil(0.8 n) + 1`` shingles, so only those are dealt out, packed as arrays.
+class. All sets are ordered alike, rare shingles first: by the level (a power of two) of a count, then by
+hash. Counts are kept in a table of 2**22 buckets of shingles, to which a scan adds what several classes
+of a block of documents hold; any table gives an order that all sets share, and so a right result. Two
+sets can only reach the threshold if they share one of their first ``n - ceil(0.8 n) + 1`` shingles, so
+only those are dealt out, packed as arrays.
 
 Candidates are compared in tries: sets are inserted along their order, a probe carries the overlap of
 the shared path into the branches, and a subtree is left as soon as what remains of the probe and of
 its sets cannot reach the overlap that is asked for, or once all of it is known to be in the probe's
 own component. A first round compares each set with one hub per shared shingle. A second round
-compares what shares a shingle and is still in different components; it makes the result exact and
-spares large groups of copies from being compared pair by pair.
+compares what shares a shingle, is of a like size and still in different components; it makes the result exact
+and spares large groups of copies from being compared pair by pair.
 
 Defined results: lower-cased A-Z, words ``[^\\x20\\x09-\\x0D]+``; fewer than n words are one shingle;
 null, empty or blank texts have an empty set and are linked with nothing. Repeated rows are rows of
-one class. A null doc_id stays a row of its own class and takes the class's component. Extra columns
-are ignored. Classes are told apart by 64 bits of a digest, and shingles by 64-bit hashes: at 10**9
+one class. A null doc_id stays a row of its own class and takes the class's component. Texts of any
+length are read whole, a row at a time if need be. An empty table has an empty result. Extra columns
+are ignored or, in ``keep_first``, carried along whatever their names. Classes are told apart by 64 bits of a digest, and shingles by 64-bit hashes: at 10**9
 different texts the odds of any confusion of classes are about 3 %.
 """
 
@@ -38,9 +41,13 @@ N = 5
 #: The threshold as a fraction of integers: 100 * intersection >= 80 * union.
 PERCENT = 80
 #: Shingles that are counted, and dealt out, at a time within a task.
-BLOCK = 3_000_000
-#: At most so many frequent shingles: one must have at least this part of all shingles.
+BLOCK = 1_500_000
+#: Buckets of shingles by their first bits, whose counts order them.
+BUCKET_BITS = 22
+#: At most so many frequent buckets: one must have at least this part of all shingles.
 FREQUENT = 1 << 18
+#: Sets that can be linked are of the same or neighbouring bands of sizes, each so many times as wide as the one before.
+BAND = 1.26
 #: Sets in one trie.
 TRIE_SETS = 256
 #: Bits of the filter that tells a scan which documents are candidates; more candidates only let more rows pass it.
@@ -88,40 +95,48 @@ def _distinct(sets: list[np.ndarray], classes: list[int]) -> dict[int, np.ndarra
     return {c: s for c, s in zip(classes, sets, strict=True) if len(s)}
 
 
+def buckets_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> U(64 - BUCKET_BITS)).astype(np.int32)
+
+
 def describe(docs: DataFrame, n: int = N) -> DataFrame:
-    """Rows (doc_id, n_shingles, class) of documents, and rows (key, df) of shingles that a block holds in several classes."""
+    """Rows (doc_id, n_shingles, class) of documents, and rows (bucket, df) of shingles that a block holds in several classes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, none = ["doc_id", "n_shingles", "class", "bucket", "df"], lambda k, kind: pa.nulls(k, kind)
         for ids, sets, classes in _blocks(batches, n):
-            own = _distinct(sets, classes)
-            keys = np.sort(np.concatenate([*own.values(), np.zeros(0, U)]))
-            edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, int)
-            df = np.diff(edge)
-            often = df > 1
-            k, none = int(often.sum()), [None] * len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids + [None] * k, pa.int64()), pa.array([len(s) for s in sets] + [None] * k, pa.int64()), pa.array(classes + [None] * k, pa.int64()), pa.array(none + keys[edge[:-1][often]].view(np.int64).tolist(), pa.int64()), pa.array(none + df[often].tolist(), pa.int64())],
-                ["doc_id", "n_shingles", "class", "key", "df"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, class long, key long, df long")
+            k = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), none(k, pa.int32()), none(k, pa.int64())], names)
+            keys = np.concatenate([*_distinct(sets, classes).values(), np.zeros(0, U)])
+            del sets
+            keys.sort()
+            same = keys[1:] == keys[:-1]
+            counts = np.bincount(buckets_of(keys[1:][same]), minlength=1)  # occurrences but the first
+            del keys, same
+            full = np.flatnonzero(counts)
+            for at in range(0, len(full), 100_000):
+                some = full[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([none(len(some), pa.int64()), none(len(some), pa.int64()), none(len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, class long, bucket int, df long")
 
 
 class Order:
-    """The global order: infrequent shingles by hash, then the frequent ones by count and hash."""
+    """The global order: by the level of a shingle's bucket, then by hash. ``frequent`` is the least level that counts as frequent."""
+
+    def __init__(self, buckets: np.ndarray, counts: np.ndarray, least: int):
+        self.levels = np.zeros(1 << BUCKET_BITS, np.uint8)
+        self.levels[buckets] = self.level(counts)
+        self.frequent = int(self.level(np.array([max(least, 2)]))[0])
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        at = np.argsort(keys.view(U))
-        self.keys, self.counts = keys.view(U)[at], counts[at].astype(np.int64)
+    @staticmethod
+    def level(counts: np.ndarray) -> np.ndarray:
+        return np.log2(np.maximum(counts, 1)).astype(np.uint8)
 
     def sort(self, s: np.ndarray) -> tuple[np.ndarray, int]:
         """The set in this order, and how many of it are infrequent. ``s`` is sorted by hash."""
-        if not len(self.keys):
-            return s, len(s)
-        at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
-        often = self.keys[at] == s
-        few, many = s[~often], s[often]
-        return np.concatenate((few, many[np.lexsort((many, self.counts[at[often]]))])), len(few)
+        levels = self.levels[buckets_of(s)]
+        return s[np.argsort(levels, kind="stable")], int((levels < self.frequent).sum())
 
 
 def postings(docs: DataFrame, order, parts: int, n: int = N) -> DataFrame:
@@ -148,7 +163,7 @@ def postings(docs: DataFrame, order, parts: int, n: int = N) -> DataFrame:
             t, c, z = t[by], c[by], z[by]
             full = np.flatnonzero(cut[1:] > cut[:-1])
             blobs = [b"".join(x[cut[p] : cut[p + 1]].tobytes() for x in (t, c, z)) for p in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full.tolist(), pa.int32()), pa.array([p >= parts for p in full], pa.bool_()), pa.array(blobs, pa.binary())], ["part", "frequent", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(full >= parts), pa.array(blobs, pa.binary())], ["part", "frequent", "blob"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "part int, frequent boolean, blob binary")
 
@@ -327,9 +342,9 @@ def ngram_components(docs: DataFrame, n: int = N) -> DataFrame:
     p = F.col("n") - F.expr(ceil_div(f"{PERCENT} * n", 100)) + 1
     totals = classes.agg(F.sum("n").alias("shingles"), F.sum(p).alias("firsts")).first()
     least = max(16, -(-(totals["shingles"] or 0) // FREQUENT))
-    frequent = described.where("key is not null").groupBy("key").agg(F.sum("df").alias("df")).where(F.col("df") >= least)
-    table = frequent.toArrow()  # at most FREQUENT rows, as each has that part of all shingles
-    order = spark.sparkContext.broadcast(Order(table.column("key").to_numpy(), table.column("df").to_numpy()))
+    table = described.where("bucket is not null").groupBy("bucket").agg(F.sum("df").alias("df")).where("df > 1").toArrow()  # at most 2**BUCKET_BITS rows
+    order = spark.sparkContext.broadcast(Order(table.column("bucket").to_numpy(), table.column("df").to_numpy(), least))
+    del table
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(totals["firsts"] or 0) // 1_000_000))
     dealt = postings(docs, order, parts, n)
     shared = written(dealt.groupBy("part").applyInArrow(_shared, "token long, class long, n long"), "shared")
@@ -344,9 +359,9 @@ def ngram_components(docs: DataFrame, n: int = N) -> DataFrame:
 
     marked = shared.join(labels, "class", "left").select("token", "class", "n", F.coalesce("component", "class").alias("component"))
     mixed = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    open_ = marked.join(mixed, "token")
-    o = open_.select("token", F.col("class").alias("member"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = open_.join(o, "token").where(F.col("component") < F.col("other"))
+    open_ = marked.join(mixed, "token").withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int"))
+    o = open_.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("class").alias("member"), F.col("n").alias("m"), F.col("component").alias("other"))
+    pairs = open_.join(o, ["token", "band"]).where(F.col("component") < F.col("other"))
     second = written(_enough(pairs.select(F.col("class").alias("hub"), "member", "n", "m")), "second")
     if not second.isEmpty():
         links = links.union(written(linked(second, docs, reps, labels, n), "links"))
@@ -359,12 +374,17 @@ def ngram_components(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, n: int = N) -> DataFrame:
-    """One document of each group stays, the one of the smallest doc_id; of rows that share a doc_id, one. Rows whose doc_id is null stay."""
+    """One document of each group stays, the one of the smallest doc_id; of rows that share a doc_id, one, by the
+    smallest hash of its text. Rows whose doc_id is null stay."""
     found = written(ngram_components(docs, n).select("doc_id", "component_id"), "components")
-    gone = pointed(found.where("component_id != doc_id").select(F.col("doc_id").alias("gone")).distinct())
-    kept = attached(docs, gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    twice = pointed(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice")))
-    if twice.isEmpty():
-        return kept
-    once = attached(kept, twice, F.col("doc_id") == F.col("twice"), "left_anti")
-    return once.unionByName(attached(kept, twice, F.col("doc_id") == F.col("twice"), "left_semi").dropDuplicates(["doc_id"]))
+    gone = found.where("component_id != doc_id").select("doc_id", F.lit(True).alias("gone"))
+    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(False).alias("gone"))
+    told = pointed(gone.union(twice).groupBy("doc_id").agg(F.max("gone").alias("gone")))
+    # The documents go into one column, so that none of their names can clash.
+    rows = docs.select(F.struct("*").alias("d"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = attached(rows, told, "doc_id", "left").where(~F.coalesce("gone", F.lit(False)))
+    once = rows.where("gone is null").select("d.*")
+    if told.where("not gone").isEmpty():
+        return once
+    again = rows.where("gone is not null").groupBy("doc_id").agg(F.min_by("d", F.xxhash64("d.text")).alias("d")).select("d.*")
+    return once.unionByName(again)

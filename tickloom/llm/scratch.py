@@ -6,6 +6,7 @@ where that setting is missing and the session runs in one process, as in tests.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,7 +34,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_at = path
+    return out
 
 
 def pointed(df: DataFrame) -> DataFrame:
@@ -41,3 +44,14 @@ def pointed(df: DataFrame) -> DataFrame:
     would hand on the constraints of its plan, which grow from round to round until planning takes longer than
     the work."""
     return written(df, "table")
+
+
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nothing reads any more. Shuffle files of finished steps go when
+    the driver's garbage is collected, which it is asked for here, since a driver with little garbage waits long."""
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table.scratch_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
