@@ -1,14 +1,17 @@
 """Document fingerprints: every shingle hash below a fixed fraction of all hashes.
 
-A sketch keeps the 64-bit hashes of a text's distinct 5-word shingles that lie in the lowest eighth of
+A sketch keeps the 64-bit hashes of a text's distinct 5-word shingles that lie in the lowest quarter of
 all values, so that sketches of texts of any size can be merged by union and give unbiased containment
 and likeness. A text none of whose hashes lies there keeps its smallest, lest short texts be alike for
-want of hashes.
+want of hashes; likeness of texts of few shingles is coarse (README states the error).
 
 Defined results: a null text is empty; a text without words has an empty fingerprint, and two of those
 have likeness 1. Fewer words than five make one shingle. The next document is the one of the next
 smaller doc_id, after the smallest the largest; rows that share a doc_id follow one another in the
-order of a hash of their texts. A null doc_id comes before all others. Extra columns are ignored.
+order of a hash of their texts. A null doc_id comes before all others. A text of any length is read
+whole. An empty table has an empty result, and a single document is its own next. Extra columns are
+ignored, whatever their names. Documents are dealt out by ranges of doc_id that hold about as many each;
+rows of one doc_id stay in one range.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ from .joins import attached
 from .scratch import pointed
 
 N = 5
-FRACTION = 8
-#: Documents that one range of doc_ids holds on average; ranges are what a task sorts.
-RANGE_ROWS = 1024
+FRACTION = 4
+#: Documents that one range of doc_ids holds on average, up to a number of ranges; ranges are what a task sorts.
+RANGE_ROWS, MOST_BITS = 1024, 16
 
 
 def let(value: Column, body) -> Column:
@@ -71,20 +74,32 @@ def written_out(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.lower(F.hex(x))), " ")
 
 
+def in_ranges(docs: DataFrame) -> DataFrame:
+    """The rows with ``range``: how many quantiles of doc_id lie at or below theirs, -1 for null."""
+    n = docs.agg(F.count("doc_id").alias("n")).first()["n"]
+    bits = min(MOST_BITS, max(0, (n // RANGE_ROWS).bit_length()))
+    if not bits:
+        return docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(0))
+    parts = [F.lit(k / (1 << bits)) for k in range(1, 1 << bits)]
+    # One row of at most 2**MOST_BITS numbers, looked up by halving.
+    bounds = pointed(docs.agg(F.percentile_approx("doc_id", F.array(*parts), max(10_000, 4 << bits)).alias("bounds")))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(bits))))
+    at = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get("bounds", lo + step - 1) <= F.col("doc_id"), lo + step).otherwise(lo))
+    return docs.join(F.broadcast(bounds)).withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at)).drop("bounds")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text, sketch) with ``next_text`` and ``next_sketch``. Ranges of doc_ids are sorted apart;
     each also gets the document that ends the range before it."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n")).first()
-    lo, width = span["lo"] or 0, max(1, -(-((span["hi"] or 0) - (span["lo"] or 0) + 1) * RANGE_ROWS // max(span["n"], 1)))
-    docs = docs.withColumn("range", F.coalesce(F.expr(f"(doc_id - {lo}) div {width}"), F.lit(-1).cast("long")))
+    docs = in_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     ends = pointed(docs.groupBy("range").agg(F.max("doc_id").alias("end")))
     ordered, every = Window.orderBy("range"), Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # The first range is preceded by the last one; a row for each range, not for each document, is ordered here.
+    # The first range is preceded by the last one; a row for each range, at most 2**MOST_BITS, is ordered here.
     ends = pointed(ends.select(F.col("range").alias("to"), F.coalesce(F.lag("range").over(ordered), F.last("range").over(every)).alias("from"), F.when(F.row_number().over(ordered) == 1, F.last("end").over(every)).otherwise(F.lag("end").over(ordered)).alias("end")))
     last = attached(docs, ends, (docs["doc_id"].eqNullSafe(ends["end"])) & (docs["range"] == ends["from"])).groupBy("to").agg(F.max_by(F.struct("doc_id", "text"), F.xxhash64("text")).alias("d"))
     both = docs.select("range", "doc_id", "text", F.lit(1).alias("own")).unionByName(last.select(F.col("to").alias("range"), "d.doc_id", "d.text", F.lit(0).alias("own")))
-    both = both.withColumn("sketch", sketch(F.col("text"))).withColumn("tie", F.xxhash64("text"))
+    # Sketches are made where the rows are sorted, so that they aren't sent.
+    both = both.repartition("range").withColumn("sketch", sketch(F.col("text"))).withColumn("tie", F.xxhash64("text"))
     w = Window.partitionBy("range").orderBy("own", "doc_id", "tie")
     return both.withColumn("next_text", F.lag("text").over(w)).withColumn("next_sketch", F.lag("sketch").over(w)).where("own = 1").select("doc_id", "text", "sketch", "next_text", "next_sketch")
 
