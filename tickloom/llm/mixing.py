@@ -7,13 +7,18 @@ aggregation over the histogram of sizes, inside brackets that every round cuts i
 targets are met. Rates are
 then rounded into copies: a document gets one more copy if its fraction exceeds a hash of its doc_id
 by more than a threshold of its source, which a radix search over the whole input sets so that the
-words taken come as near to the target as single documents allow.
+words taken come near the target. Then, as long as that brings a source nearer, the one document that
+does so best gets a copy more or less.
 
 Sums of the Newton steps are decimals, so that runs agree whatever the order of the rows.
 
 Defined results: a null text has size 0 and is taken once, at no words. A null source is a source,
 ordered last. Repeated rows count each and get the same copies. An empty table stays empty. A null
-doc_id is hashed as such. The table of sources, not of documents, is ordered in one task.
+doc_id is hashed as such. Documents that deserve a further copy alike, to the last of 30 bits, are taken or
+left together; of documents that change a source's sum alike, the one with the smallest hash of its doc_id
+is changed, and rows that share its doc_id with it. Texts of any length are counted whole. Extra columns
+are ignored or, in ``mixed_documents``, carried along whatever their names. The table of sources, not of
+documents, is ordered in one task.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ WEIGHTS = 3  # weights 1, 2, 3, repeating
 ROUNDS = 100
 CUTS = 16  # parts of a bracket that a round looks at
 EXACT = 1e-6
-FLIPS = 2  # single documents that bring a source nearer to its target afterwards
+NEAR = 1e-4  # part of its target by which a source may be off before single documents are changed
 DIGIT_BITS, DIGITS = 10, 3
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -97,6 +102,8 @@ def multipliers(histogram: DataFrame, aims: DataFrame) -> DataFrame:
         inside = F.when((newton > F.col("new_lo")) & (newton < F.col("new_hi")), newton).otherwise((F.col("new_lo") + F.col("new_hi")) / 2)
         done = ~F.col("open") | (F.abs("off") <= F.col("target") * EXACT) | (F.col("new_hi") - F.col("new_lo") <= F.abs("lam") * 1e-12)
         state = pointed(s.select("source", "source_size", "mean", "least", "target", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), F.when(done, F.col("lam")).otherwise(inside).alias("lam"), (~done).alias("open")))
+    else:
+        raise ArithmeticError("the multipliers of some source have not converged")
     return state.select("source", "source_size", "mean", "target", "lam")
 
 
@@ -140,19 +147,21 @@ def flipped(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Sources with ``plus`` and ``minus``: single documents that get a copy more or less, as their size is what
     their source still lacks or has too much."""
     none = F.array().cast("array<bigint>")
-    sources = sources.withColumn("plus", none).withColumn("minus", none)
-    for _ in range(FLIPS):
+    sources = pointed(sources.withColumn("plus", none).withColumn("minus", none))
+    while True:  # each round brings a source nearer, by the document that brings it nearest
         rows = beside(sized, sources).withColumn("c", copies(F.col("doc_id"), F.col("size")))
-        lack = pointed(rows.groupBy("source", "target").agg(F.sum(F.col("c") * F.col("size")).alias("taken")).select("source", (F.col("target") - F.col("taken")).alias("lack")))
-        rows = beside(rows, lack).where(~F.array_contains("plus", F.col("doc_id")) & ~F.array_contains("minus", F.col("doc_id")))
-        can = ((F.col("lack") > 0) & (F.col("c") < MOST)) | ((F.col("lack") < 0) & (F.col("c") > 0))
+        lack = pointed(rows.groupBy("source", "target").agg(F.sum(F.col("c") * F.col("size")).alias("taken")).select("source", "target", (F.col("target") - F.col("taken")).alias("lack")))
+        rows = beside(rows, lack.where(F.abs("lack") > F.col("target") * NEAR)).where(~F.array_contains("plus", F.col("doc_id")) & ~F.array_contains("minus", F.col("doc_id")))
+        can = F.col("doc_id").isNotNull() & ((F.col("lack") > 0) & (F.col("c") < MOST) | (F.col("lack") < 0) & (F.col("c") > 0))
         off = F.abs(F.abs("lack") - F.col("size"))
         best = rows.where(can & (off < F.abs("lack"))).groupBy("source", "lack").agg(F.min(F.struct(off.alias("off"), F.xxhash64("doc_id").alias("r"), "doc_id")).alias("b"))
+        best = pointed(best)
+        if best.isEmpty():
+            return sources
         s = beside(sources, best.select("source", "lack", F.col("b.doc_id").alias("doc")), "left")
         one = F.array("doc")
         s = s.withColumn("plus", F.when(F.col("lack") > 0, F.concat("plus", one)).otherwise(F.col("plus"))).withColumn("minus", F.when(F.col("lack") < 0, F.concat("minus", one)).otherwise(F.col("minus")))
         sources = pointed(s.select(*sources.columns))
-    return sources
 
 
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

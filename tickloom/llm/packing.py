@@ -6,13 +6,17 @@ a segment tree indexed by remaining capacity finds the tightest open windows, an
 filled alike are kept as one group with a count. The plan gives each (length, rank) its sequence and
 offset; pieces get their ranks within a length by salted counting, so no length is gathered in a task.
 
-Defined results: a null or empty text is the end identifier alone. Repeated rows are packed each.
+Defined results: a null or empty text is the end identifier alone. Repeated rows are packed each. A null
+doc_id is one like others. A text of any length is encoded whole and cut into windows. Pieces of one length
+are alike to the plan; which of them goes where follows a hash and then doc_id, start and checksum, so
+that reruns agree. An empty table has no pieces. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +33,10 @@ from .scratch import written
 WINDOW = 2048
 END_ID = 1
 REMEMBERED = 400_000
+#: Pieces that one task ranks at most, if all are of one length.
+RANKED = 500_000
+#: The fast engine's pattern runs out of stack in runs of blanks that are far longer than this.
+LONG_BLANK = re.compile(r"\s{10000}")
 #: How byte-level vocabularies of this family split a text (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -54,10 +62,10 @@ class Encoder:
         self.known: dict[str, bytes | None] = {}
 
     def whole(self, text: str) -> bytes:
-        try:
-            ids = self.fast.encode(text, allowed_special="all") if "<" in text else self.fast.encode_ordinary(text)
-        except Exception:  # its pattern engine gives up on some runs of a million characters
+        if len(text) >= 10_000 and LONG_BLANK.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode(text, allowed_special="all") if "<" in text else self.fast.encode_ordinary(text)
         return np.array(ids, "<u4").tobytes()
 
     def chunk(self, piece: str) -> bytes | None:
@@ -177,7 +185,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
     """Every piece with its sequence and offset."""
     spark = docs.sparkSession
     pieces = written(cut(docs, vocabulary, window), "pieces")
-    salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = max(8, -(-pieces.count() // RANKED))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
     counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
