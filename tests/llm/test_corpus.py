@@ -1,6 +1,7 @@
 """Near copies, lines, mixing, licences and archives against plain Python."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -201,8 +202,8 @@ def test_line_recall(spark, sf_dir):
             at.setdefault(pair, []).append(x)
     pairs = {(a, b) for held in at.values() if len(held) <= 40 for a in held for b in held if a < b and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b))}
     links = [(a, b) for a, b in pairs if alike(a, b)]
-    found, lines = line_dedup.line_groups(docs)
-    component = {(r.doc_id, r.place): r.component for r in found.join(lines, "line").select("doc_id", "place", "component").collect()}
+    found, labels = line_dedup.line_groups(docs)
+    component = {(r.doc_id, r.place): r.component or r.line for r in found.join(labels, "line", "left").collect()}
     together = sum(component[place[a]] == component[place[b]] for a, b in links)
     assert len(links) >= 30 and together >= 0.9 * len(links)
 
@@ -273,14 +274,74 @@ def test_mixing(spark, odd_rows, empty, many):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def scanned_by_hand(files):
+    """{doc_id: (license, origin, cosine, licence_dir)} by plain Python, files as (doc_id, path, text)."""
+    split = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w]
+    df, n = Counter(w for _, _, t in files for w in set(split(t))), len(files)
+    models = [(name, Counter(split(t))) for name, t in license_scan.template_texts()]
+    telling = {w for _, m in models for w in m if df[w] <= n * license_scan.TELLING + license_scan.TELLING_FILES}
+    vector = lambda c: {w: k * (math.log((n + 1) / (df[w] + 1)) + 1) for w, k in c.items()}
+    models = [(name, vector(m)) for name, m in models]
+
+    def best(text):
+        v = vector(Counter(split(text)))
+        size = lambda x: math.sqrt(sum(y * y for y in x.values()))
+        scored = [(-round(sum(v[w] * x for w, x in m.items() if w in v) / size(v) / size(m), 9), name) for name, m in models]
+        return min(s for s in scored) if scored else None
+
+    own, declared, out = {}, {}, {}
+    parent = lambda p: (p or "").rpartition("/")[0]
+    for i, path, text in files:
+        lines = (text or "").split("\n")
+        places = [k for k, x in enumerate(lines) if len(set(split(x)) & telling) >= 2]
+        blocks = []
+        for k in places:
+            if blocks and k - blocks[-1][-1] <= 2:
+                blocks[-1].append(k)
+            else:
+                blocks.append([k])
+        parts = [(2, lines[k]) for k in places] + [(1, "\n".join(lines[k] for k in b)) for b in blocks] + ([(0, text)] if places else [])
+        hits = [(scope, *best(t)) for scope, t in parts]
+        hits = [h for h in hits if h[1] <= -license_scan.LEAST_COSINE]
+        if hits:
+            scope, c, name = min(hits)
+            own[i] = (name, scope == 0, -c)
+            if own[i][1]:
+                declared.setdefault(parent(path), []).append((c, name))
+    for i, path, _ in files:
+        if i in own:
+            name, is_file, c = own[i]
+            out[i] = (name, "file" if is_file else "header", c, parent(path) if is_file else None)
+            continue
+        d = parent(path)
+        while d not in declared and d:
+            d = parent(d)
+        out[i] = (min(declared[d])[1], "inherited", -min(declared[d])[0], d) if d in declared else (None, "none", None, None)
+    return out
+
+
 def test_license_scan(spark, empty):
-    apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
-    rows = [(1, "a/LICENSE", apache), (2, "a/b/c/x", "prose"), (3, "a/b/y", f"text of some length\nmore text\nthird\n{mit}"), (4, "z/q", "prose"), (5, "LICENSE", mit), (6, "a/b/d/LICENSE", f"{mit}\n{mit}"), (7, "a/b/d/e/f", None), (8, None, ""), (9, "a/w", "licenses are discussed here at length, without any grant or name of one")]
-    rows = [(i, p, t, "x", "y") for i, p, t in rows] + [(2, "a/b/c/x", "prose", "x", "y")]
-    files = spark.createDataFrame(rows, "doc_id long, path string, text string, license string, line string")
-    got = {(r.doc_id, r.license, r.origin) for r in license_scan.scan(files).collect()}
-    assert got == {(1, "Apache-2.0", "file"), (2, "Apache-2.0", "inherited"), (3, "MIT", "header"), (4, "MIT", "inherited"), (5, "MIT", "file"), (6, "MIT", "file"), (7, "MIT", "inherited"), (8, "MIT", "inherited"), (9, "Apache-2.0", "inherited")}
-    assert license_scan.scan(files).count() == 10 and license_scan.scan(files.where("false")).count() == 0
+    """Texts and notices that are not the templates word for word, in comments and between other lines; ties between
+    templates and between licence files; nulls, empty and very long texts, repeated rows, clashing names."""
+    mit = "\n".join(["Copyright (c) 2020 Some Author", "", *(license_scan.MIT.replace(", to deal", ",\nto deal").replace("rights to use", "rights\nto use").split("\n")), license_scan.WARRANTY])
+    notice = "\n".join("# " + x for x in license_scan.APACHE.replace("; ", ";\n").replace("License. ", "License.\n").split("\n"))
+    bsd = f"{license_scan.BSD}\n{license_scan.BSD_THIRD}\n\n{license_scan.BSD_END}"
+    code = "\n".join(prose(700 + k, 12) for k in range(40))
+    gpl = license_scan.GPL.format("General", "3").replace(". ", ".\n")
+    files = [
+        (1, "a/LICENSE", mit), (2, "a/b/c/x", code), (3, "a/b/y", notice + "\n" + code), (4, "z/q", prose(9, 40)), (5, "LICENSE", "BSD 3-Clause License\n\n" + bsd), (6, "a/b/d/LICENSE", gpl), (7, "a/b/d/COPYING", "Licensed under the Apache License, Version 2.0"),
+        (8, "a/b/d/e/f", None), (9, None, ""), (10, "a/w", "licenses are discussed here at length, without any grant or name of one"), (11, "s/t", "// SPDX-License-Identifier: MIT\n" + code), (12, "s/u", code + "\nSPDX-License-Identifier: BSD-2-Clause\n\n\nThe MIT License (MIT)"),
+        (13, "s/long", " ".join(["word"] * 60_000) + "\n" + notice), (14, "k/LICENSE", "Mozilla Public License Version 2.0"), (15, "k/LICENSE.old", "Apache License Version 2.0, January 2004"), (16, "k/m", code), (17, "p/x", "This is free software as in freedom, and the license of it is the GNU General Public License version 2 or so"),
+    ]
+    rows = [(i, p, t, "x", "y", "z", 1) for i, p, t in files] + [(2, "a/b/c/x", code, "x", "y", "z", 1)]
+    table_ = spark.createDataFrame(rows, "doc_id long, path string, text string, license string, unit string, of string, version int")
+    got = {r.doc_id: (r.license, r.origin, r.cosine, r.licence_dir) for r in license_scan.scan(table_).collect()}
+    want = scanned_by_hand(files + [files[1]])
+    assert {i: x[:2] + x[3:] for i, x in got.items()} == {i: x[:2] + x[3:] for i, x in want.items()}
+    assert {i: x[2] for i, x in got.items()} == {i: pytest.approx(x[2], abs=1e-8) if x[2] else x[2] for i, x in want.items()}
+    assert [got[k][:2] for k in (1, 2, 3, 4, 5, 6, 7, 8, 9)] == [("MIT", "file"), ("MIT", "inherited"), ("Apache-2.0", "header"), ("BSD-3-Clause", "inherited"), ("BSD-3-Clause", "file"), ("GPL-3.0", "file"), ("Apache-2.0", "file"), (got[8][0], "inherited"), ("BSD-3-Clause", "inherited")]
+    assert got[11][0] == "MIT" and got[16][3] == "k" and got[1][2] < 1 and got[7][2] <= 1
+    assert license_scan.scan(table_).count() == len(rows) and license_scan.scan(table_.where("false")).count() == 0
 
 
 def test_archives(spark, sf_dir):

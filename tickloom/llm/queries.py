@@ -26,8 +26,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files source/thousand/hundred/doc_id."""
-    path = F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.expr("doc_id div 100"), "doc_id")
+    """The documents as files source/thousand/hundred/doc_id; those without a source lie in a directory of their own."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("(none)")), F.expr("doc_id div 1000"), F.expr("doc_id div 100"), "doc_id")
     return license_scan.scan(_table(spark, sf_dir, "documents").withColumn("path", path))
 
 
