@@ -26,6 +26,19 @@ def joined(*blocks: DataFrame) -> DataFrame:
     return out
 
 
+#: Statistics of the blocks that the cross features and the derived sets are made of.
+NEEDS = {
+    "cross": {"order": {"signed_volume_imbalance", "volume_logsum", "cancel_volume_rate"}, "transaction": {"volume_imbalance", "volume_logsum", "price_bps__last"}, "market": {"log_depth_l1__last", "mid_bps__delta", "microprice_bps__last"}},
+    "order_category_ratios": {"order": {"event_count", "volume_logsum", *(f"{c}_{k}" for c in CATEGORIES for k in ("count", "volume_logsum"))}},
+    "order_pressure": {"order": {f"{c}_{k}" for c in CATEGORIES for k in ("count", "volume_logsum")}},
+    "temporal_dynamics": {
+        "order": {"signed_volume_imbalance", "cancel_count_rate", "cancel_volume_rate", *(f"{c}_{k}" for c in CATEGORIES for k in ("count", "volume_logsum"))},
+        "transaction": {"count_imbalance", "volume_imbalance", "vwap_bps", "price_bps__mean"},
+        "market": {"mid_bps__std", "mid_bps__delta", "mid_bps__max", "mid_bps__min", "mid_bps__slope", "realized_vol_bps", "spread_bps__mean", "imbalance_l2__mean"},
+    },
+}
+
+
 def cross(rows: DataFrame) -> DataFrame:
     """sample_id with seven features for each of six windows; the book's shortest window is 5 s."""
     out: dict[str, Column] = {}

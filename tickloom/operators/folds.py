@@ -48,8 +48,18 @@ def in_folds(rows: DataFrame, folds: tuple[MonthFold, ...] = FOLDS) -> DataFrame
     return rows.withColumn("f", F.explode(F.filter(F.array(*map(part, folds)), lambda x: x["part"].isNotNull()))).select(*rows.columns, "f.fold", "f.part")
 
 
+def require_parts(rows: DataFrame, folds: tuple[MonthFold, ...] = FOLDS) -> DataFrame:
+    """The rows of ``in_folds``; an error if a fold has no training or no validation row."""
+    have = {(r["fold"], r["part"]) for r in rows.select("fold", "part").distinct().collect()}  # two for each fold
+    if lacking := [(f.name, p) for f in folds for p in ("train", "valid") if (f.name, p) not in have]:
+        raise ValueError(f"empty parts: {lacking}")
+    return rows
+
+
 def recent_months(train: DataFrame, n: int) -> DataFrame:
     """The last n months of each fold's training rows."""
+    if n < 1:
+        raise ValueError("at least one month must stay")
     latest = F.max("month").over(Window.partitionBy("fold"))
     return train.withColumn("latest", latest).where(F.col("month") >= F.col("latest") - n + 1).drop("latest")
 
@@ -100,3 +110,12 @@ def clipped(rows: DataFrame, bounds: DataFrame, features: list[str], by: str = "
 def clip_target(rows: DataFrame, quantiles: tuple[float, float]) -> DataFrame:
     bounds = rows.agg(F.percentile("target", F.array(*map(F.lit, quantiles))).alias("q"))
     return rows.join(F.broadcast(bounds)).withColumn("target", S.clip(F.col("target"), F.col("q")[0], F.col("q")[1])).drop("q")  # one row of two numbers
+
+
+def saved_bounds(bounds: DataFrame) -> list[dict]:
+    """Bounds as plain rows, a few numbers for each feature, to be kept beside a model."""
+    return [r.asDict() for r in bounds.orderBy(*bounds.columns[:2]).collect()]
+
+
+def loaded_bounds(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    return spark.createDataFrame(rows, "fold string, feature string, low double, high double, missing_rate double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,8 +54,7 @@ def derive(rows: DataFrame) -> DataFrame:
     return W.with_lags(d, "seconds", "mid_bps").withColumn("mid_return", col("mid_bps") - col("prev_mid_bps"))
 
 
-def block_long(derived: DataFrame, windows: tuple[float, ...] = WINDOWS) -> DataFrame:
-    """(sample_id, w) with 61 statistics."""
+def _stats() -> dict[str, Column]:
     rate = lambda c: (A.group_sum(c) / F.count("*"))
     stats = {"rows": F.count("*").cast("double"), "book_valid_l1_rate": rate(F.col("valid_l1").cast("double")), "book_valid_l2_rate": rate(F.col("valid_l2").cast("double"))}
     for s in SIGNALS:
@@ -73,7 +72,12 @@ def block_long(derived: DataFrame, windows: tuple[float, ...] = WINDOWS) -> Data
         "correction_trade_count_signed_logsum": S.signed_log1p(A.group_sum(F.col("correction_count"))),
         "realized_vol_bps": F.sqrt(A.group_sum(step * step)),
     }
-    return W.in_windows(derived, windows).groupBy("sample_id", "w").agg(*(v.alias(k) for k, v in stats.items()))
+    return stats
+
+
+def block_long(derived: DataFrame, windows: tuple[float, ...] = WINDOWS, only: set[str] | None = None) -> DataFrame:
+    """(sample_id, w) with 61 statistics, or the named ones of them."""
+    return W.grouped(derived, windows, _stats(), only)
 
 
 def zeros() -> dict[str, bool]:
@@ -84,21 +88,28 @@ def zeros() -> dict[str, bool]:
     return {n: True for n in head} | {n: False for n in signals} | {n: True for n in tail}
 
 
+def _of_whole() -> dict[str, Column]:
+    """The five statistics of whole samples."""
+    first, last = A.group_first(F.col("seconds")), A.group_last(F.col("seconds"))
+    return {"reference_mid": F.first("reference_mid"), "no_valid_mid": F.first(F.col("no_valid_mid").cast("double")), "row_count": F.count("*").cast("double"), "observed_span": first - last, "last_event_seconds": last}
+
+
 def global_stats(derived: DataFrame) -> DataFrame:
     """(sample_id) with the five statistics of whole samples."""
-    return derived.groupBy("sample_id").agg(
-        F.first("reference_mid").alias("market__reference_mid"),
-        F.first(F.col("no_valid_mid").cast("double")).alias("market__no_valid_mid"),
-        F.count("*").cast("double").alias("market__row_count"),
-        (A.group_first(F.col("seconds")) - A.group_last(F.col("seconds"))).alias("market__observed_span"),
-        A.group_last(F.col("seconds")).alias("market__last_event_seconds"),
-    )
+    return derived.groupBy("sample_id").agg(*(v.alias(f"market__{k}") for k, v in _of_whole().items()))
+
+
+def block_of(derived: DataFrame, windows: tuple[float, ...] = WINDOWS, only: set[str] | None = None) -> DataFrame:
+    """The wide block of derived rows, 5 + 61 columns for each window, or the named statistics: one grouping, in which
+    the whole sample is one window more."""
+    whole = _of_whole()
+    long = W.grouped(derived, W.with_whole(windows, whole, only), _stats() | whole, only)
+    return W.wide(long, "market", windows, zeros(), GLOBALS)
 
 
 def block(rows: DataFrame, windows: tuple[float, ...] = WINDOWS) -> DataFrame:
     """The wide block: 5 + 61 columns for each window."""
-    derived = derive(rows)
-    return global_stats(derived).join(W.wide(block_long(derived, windows), "market", windows, zeros()), "sample_id", "left")
+    return block_of(derive(rows), windows)
 
 
 def context(derived: DataFrame) -> DataFrame:

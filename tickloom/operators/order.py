@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
@@ -30,8 +30,7 @@ def derive(rows: DataFrame, context: DataFrame) -> DataFrame:
     return W.with_lags(d, "seconds").withColumn("gap", col("prev_seconds") - col("seconds"))
 
 
-def block_long(derived: DataFrame, windows: tuple[float, ...] = WINDOWS) -> DataFrame:
-    """(sample_id, w) with 31 statistics."""
+def _stats() -> dict[str, Column]:
     col = F.col
     n, volume = F.count("*").cast("double"), A.group_sum(col("volume"))
     cancel = col("order_action") == 1
@@ -51,7 +50,12 @@ def block_long(derived: DataFrame, windows: tuple[float, ...] = WINDOWS) -> Data
         stats |= {f"{c}_count": F.count_if(col("category") == c).cast("double"), f"{c}_volume_logsum": F.log1p(A.group_sum(col("volume"), col("category") == c))}
     for b in BUCKETS:
         stats |= {f"distance_{b}_count": F.count_if(col("bucket") == b).cast("double"), f"distance_{b}_volume_logsum": F.log1p(A.group_sum(col("volume"), col("bucket") == b))}
-    return W.in_windows(derived, windows).groupBy("sample_id", "w").agg(*(v.alias(k) for k, v in stats.items()))
+    return stats
+
+
+def block_long(derived: DataFrame, windows: tuple[float, ...] = WINDOWS, only: set[str] | None = None) -> DataFrame:
+    """(sample_id, w) with 31 statistics, or the named ones of them."""
+    return W.grouped(derived, windows, _stats(), only)
 
 
 def zeros() -> dict[str, bool]:
@@ -61,11 +65,10 @@ def zeros() -> dict[str, bool]:
     return {n: True for n in head} | {n: False for n in open_} | {n: True for n in tail}
 
 
-def block(rows: DataFrame, context: DataFrame, windows: tuple[float, ...] = WINDOWS) -> DataFrame:
-    """The wide block: 2 + 31 columns for each window."""
-    return _with_globals(derive(rows, context), "order", block_long, zeros(), windows)
+def block(rows: DataFrame, context: DataFrame, windows: tuple[float, ...] = WINDOWS, only: set[str] | None = None) -> DataFrame:
+    """The wide block: 2 + 31 columns for each window, or the named statistics."""
+    return block_of(derive(rows, context), windows, only)
 
 
-def _with_globals(derived: DataFrame, prefix: str, long, empty: dict[str, bool], windows: tuple[float, ...]) -> DataFrame:
-    whole = derived.groupBy("sample_id").agg(F.count("*").cast("double").alias(f"{prefix}__row_count"), A.group_last(F.col("seconds")).alias(f"{prefix}__last_event_seconds"))
-    return whole.join(W.wide(long(derived, windows), prefix, windows, empty), "sample_id", "left")
+def block_of(derived: DataFrame, windows: tuple[float, ...] = WINDOWS, only: set[str] | None = None) -> DataFrame:
+    return W.wide_events(derived, "order", windows, _stats(), zeros(), only)

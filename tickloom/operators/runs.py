@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -20,12 +20,25 @@ def weights_of(weights: list[float] | None, n: int, counts: list[int] | None = N
     return [w / sum(weights) for w in weights]
 
 
-def same_rows(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = KEYS) -> bool:
-    """Both have the same keys, each as often."""
-    count = lambda d, n: d.groupBy(*keys).agg(F.count("*").alias(n))
-    x, y = count(a, "x"), count(b, "y").withColumnsRenamed({k: f"{k}_" for k in keys})
-    on = reduce(lambda p, q: p & q, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys))
-    return x.join(y, on, "full").where("x is distinct from y").isEmpty()
+def _numbered(runs: list[DataFrame]) -> DataFrame:
+    """All rows of up to 60 runs, each with a bit of its own in ``run``."""
+    return reduce(DataFrame.unionByName, (r.select(*KEYS, F.col("prediction").cast("double").alias("prediction"), F.lit(1 << k).cast("long").alias("run")) for k, r in enumerate(runs)))
+
+
+def _once_each(n: int) -> Column:
+    """Of grouped rows: every run has its row, and no run has two. n bits that add up to 2**n - 1 are all different."""
+    return (F.count("*") == n) & (F.sum("run") == (1 << n) - 1)
+
+
+def contract_violations(runs: list[DataFrame]) -> DataFrame:
+    """(sample_id, month, target, fold, n) of the keys that not every run has exactly once."""
+    rows = _numbered(runs).groupBy(*KEYS).agg(F.count("*").alias("n"), _once_each(len(runs)).alias("sound"))
+    return rows.where(~F.col("sound")).drop("sound")
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Both runs have the same keys, each once."""
+    return contract_violations([a, b]).isEmpty()
 
 
 def seed_mean(predictions: DataFrame) -> DataFrame:
@@ -33,14 +46,6 @@ def seed_mean(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("sample_id").agg(F.avg("prediction").alias("prediction"))
 
 
-def _stacked(runs: list[DataFrame], weights: list[float], unit: bool) -> DataFrame:
-    parts = []
-    for w, run in zip(weights, runs, strict=True):
-        r = run.select(*KEYS, F.col("prediction").cast("double").alias("prediction"))
-        parts.append((unit_norm(r) if unit else r).withColumn("prediction", F.col("prediction") * w))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def unit_norm(run: DataFrame, column: str = "prediction") -> DataFrame:
     """The vector over its length; an error if that is 0."""
     length = run.agg(F.sqrt(F.sum(F.col(column) * F.col(column))).alias("length"))
@@ -48,14 +53,36 @@ def unit_norm(run: DataFrame, column: str = "prediction") -> DataFrame:
     return out.withColumn(column, F.when(F.col("length") > 0, F.col(column) / F.col("length")).otherwise(F.raise_error(F.lit("a zero vector has no direction")).cast("double"))).drop("length")
 
 
+def _combined(runs: list[DataFrame], weights: list[float]) -> DataFrame:
+    """The weighted sum by key; an error where a run lacks a key or has it twice."""
+    w = F.element_at(F.array(*map(F.lit, weights)), F.bit_count(F.col("run") - 1).cast("int") + 1)
+    total = F.sum(F.col("prediction") * w)
+    checked = F.when(_once_each(len(runs)), total).otherwise(F.raise_error(F.lit("runs differ in their samples, months, targets or folds")).cast("double"))
+    return _numbered(runs).groupBy(*KEYS).agg(checked.alias("prediction"))
+
+
 def ensemble(runs: list[DataFrame], weights: list[float] | None = None, seeds: list[int] | None = None) -> DataFrame:
-    """Weighted mean of runs of one contract: one union and one aggregation, whatever their number."""
-    return _stacked(runs, weights_of(weights, len(runs), seeds), False).groupBy(*KEYS).agg(F.sum("prediction").alias("prediction"))
+    """Weighted mean of runs of one contract, by default by their numbers of seeds: one union and one aggregation,
+    which also checks that every run has every key once."""
+    return _combined(runs, weights_of(weights, len(runs), seeds))
 
 
 def blend(runs: list[DataFrame], weights: list[float] | None = None, normalize: bool = True) -> DataFrame:
-    """Weighted sum of runs, each brought to length 1 first."""
-    return _stacked(runs, weights_of(weights, len(runs)), normalize).groupBy(*KEYS).agg(F.sum("prediction").alias("prediction"))
+    """Weighted sum of runs of one contract, each brought to length 1 first."""
+    weights = weights_of(weights, len(runs))
+    return _combined([unit_norm(r.select(*KEYS, F.col("prediction").cast("double").alias("prediction"))) for r in runs] if normalize else runs, weights)
+
+
+def blend_found(tabular: DataFrame, deep: DataFrame, steps: int = 100) -> tuple[DataFrame, dict]:
+    """The run of the best blend of two, and its weight and score: both brought to length 1, over the samples of the deep run."""
+    both = aligned(tabular, deep)
+    best = best_weight(weight_search(both, steps)).first()
+    if best is None or best["weight"] is None:
+        raise ValueError("no blend has a score")
+    length = F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("la"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("lb")
+    rows = both.join(F.broadcast(both.agg(*length)))  # two numbers
+    w = best["weight"]
+    return rows.select(*KEYS, ((1 - w) * F.col("a") / F.col("la") + w * F.col("b") / F.col("lb")).alias("prediction")), best.asDict()
 
 
 def aligned(tabular: DataFrame, deep: DataFrame) -> DataFrame:

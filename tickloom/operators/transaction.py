@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions import scalars as S
 from . import windows as W
-from .order import _with_globals
 
 WINDOWS = (1, 2, 5, 10, 30, 60)
 LARGE = 10_000
@@ -24,8 +23,7 @@ def derive(rows: DataFrame, context: DataFrame) -> DataFrame:
     return d.withColumns({"gap": col("prev_seconds") - col("seconds"), "same_side": (col("side") == col("prev_side")).cast("double")})
 
 
-def block_long(derived: DataFrame, windows: tuple[float, ...] = WINDOWS) -> DataFrame:
-    """(sample_id, w) with 22 statistics."""
+def _stats() -> dict[str, Column]:
     col = F.col
     buy, sell = col("side") == 0, col("side") == 1
     n, volume = F.count("*").cast("double"), A.group_sum(col("volume"))
@@ -39,7 +37,12 @@ def block_long(derived: DataFrame, windows: tuple[float, ...] = WINDOWS) -> Data
     stats |= A.series("price_bps", col("price_bps"), PRICE_STATS)
     stats |= A.series("event_gap", col("gap"), ("mean", "std", "max"), W.transition())
     stats["direction_persistence"] = F.avg(F.when(W.transition(), col("same_side")))
-    return W.in_windows(derived, windows).groupBy("sample_id", "w").agg(*(v.alias(k) for k, v in stats.items()))
+    return stats
+
+
+def block_long(derived: DataFrame, windows: tuple[float, ...] = WINDOWS, only: set[str] | None = None) -> DataFrame:
+    """(sample_id, w) with 22 statistics, or the named ones of them."""
+    return W.grouped(derived, windows, _stats(), only)
 
 
 def zeros() -> dict[str, bool]:
@@ -48,6 +51,10 @@ def zeros() -> dict[str, bool]:
     return {n: True for n in head} | {n: False for n in open_}
 
 
-def block(rows: DataFrame, context: DataFrame, windows: tuple[float, ...] = WINDOWS) -> DataFrame:
-    """The wide block: 2 + 22 columns for each window."""
-    return _with_globals(derive(rows, context), "transaction", block_long, zeros(), windows)
+def block(rows: DataFrame, context: DataFrame, windows: tuple[float, ...] = WINDOWS, only: set[str] | None = None) -> DataFrame:
+    """The wide block: 2 + 22 columns for each window, or the named statistics."""
+    return block_of(derive(rows, context), windows, only)
+
+
+def block_of(derived: DataFrame, windows: tuple[float, ...] = WINDOWS, only: set[str] | None = None) -> DataFrame:
+    return W.wide_events(derived, "transaction", windows, _stats(), zeros(), only)

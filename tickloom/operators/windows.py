@@ -11,15 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import aggregates as A
+
+
 def sample():
     """Rows of a sample in their order."""
     return Window.partitionBy("sample_id").orderBy("row_seq")
 
 
+#: The window of all rows of a sample.
+WHOLE = float("inf")
+
+
 def in_windows(rows: DataFrame, windows: tuple[float, ...]) -> DataFrame:
-    """Rows once for each window ``w`` that holds them."""
+    """Rows once for each window ``w`` that holds them; ``WHOLE`` holds all."""
     every = F.array(*(F.lit(float(w)) for w in windows))
-    return rows.withColumn("w", F.explode(F.filter(every, lambda w: F.col("seconds") <= w)))
+    return rows.withColumn("w", F.explode(F.filter(every, lambda w: (F.col("seconds") <= w) | (w == WHOLE))))
+
+
+def grouped(derived: DataFrame, windows: tuple[float, ...], stats: dict[str, Column], only: set[str] | None = None) -> DataFrame:
+    """(sample_id, w) with statistics, of which only the named ones are made if names are given."""
+    made = [v.alias(k) for k, v in stats.items() if only is None or k in only]
+    return in_windows(derived, windows).groupBy("sample_id", "w").agg(*(made or [F.count("*").alias("rows")]))
 
 
 def with_lags(rows: DataFrame, *names: str) -> DataFrame:
@@ -43,16 +56,31 @@ def label_of(w: float) -> str:
     return f"{w:g}"
 
 
-def wide(long: DataFrame, prefix: str, windows: tuple[float, ...], stats: dict[str, bool]) -> DataFrame:
-    """One row for each sample with columns ``<prefix>__w<W>__<stat>``. stats: whether an empty window counts as 0."""
-    held = F.map_from_entries(F.collect_list(F.struct(F.col("w"), F.struct(*stats).alias("s"))))
+def wide(long: DataFrame, prefix: str, windows: tuple[float, ...], stats: dict[str, bool], whole: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each sample with columns ``<prefix>__w<W>__<stat>`` behind the statistics of whole samples,
+    ``<prefix>__<stat>``. stats: whether an empty window counts as 0. Statistics that the rows lack are left out."""
+    have = set(long.columns)
+    stats, whole = {k: v for k, v in stats.items() if k in have}, [k for k in whole if k in have]
+    held = F.map_from_entries(F.collect_list(F.struct(F.col("w"), F.struct(*stats, *whole).alias("s"))))
     rows = long.groupBy("sample_id").agg(held.alias("m"))
 
     def value(w: float, name: str) -> Column:
         v = F.try_element_at("m", F.lit(float(w)))[name]
         return (F.coalesce(v, F.lit(0.0)) if stats[name] else v).alias(f"{prefix}__w{label_of(w)}__{name}")
 
-    return rows.select("sample_id", *(value(w, n) for w in windows for n in stats))
+    every = (F.try_element_at("m", F.lit(WHOLE))[n].alias(f"{prefix}__{n}") for n in whole)
+    return rows.select("sample_id", *every, *(value(w, n) for w in windows for n in stats))
+
+
+def wide_events(derived: DataFrame, prefix: str, windows: tuple[float, ...], stats: dict[str, Column], empty: dict[str, bool], only: set[str] | None) -> DataFrame:
+    """The wide block of order or transaction rows by one grouping: number and last time of a whole sample, then windows."""
+    whole = {"row_count": F.count("*").cast("double"), "last_event_seconds": A.group_last(F.col("seconds"))}
+    return wide(grouped(derived, with_whole(windows, whole, only), stats | whole, only), prefix, windows, empty, tuple(whole))
+
+
+def with_whole(windows: tuple[float, ...], whole: dict[str, Column], only: set[str] | None) -> tuple[float, ...]:
+    """The windows, and that of whole samples if one of its statistics is wanted."""
+    return (*windows, WHOLE) if only is None or only & set(whole) else windows
 
 
 def on_spine(spine: DataFrame, block: DataFrame, zeros: set[str]) -> DataFrame:

@@ -51,12 +51,22 @@ def _ord(spark, sf_dir) -> DataFrame:
     return order.derive(adapters.orders(spark, sf_dir), market.context(market.derive(adapters.snapshots(spark, sf_dir))))
 
 
-def _wide(spark, sf_dir) -> DataFrame:
-    """All blocks of the suppliers' samples; orders serve as trades too."""
-    snaps, orders = market.derive(adapters.snapshots(spark, sf_dir)), adapters.orders(spark, sf_dir)
+def _wide(spark, sf_dir, wanted: str, market_windows: tuple[float, ...] = market.WINDOWS) -> DataFrame:
+    """The statistics that a set is made of, for all suppliers' samples; orders serve as trades too."""
+    snaps, orders, needs = market.derive(adapters.snapshots(spark, sf_dir)), adapters.orders(spark, sf_dir), cross.NEEDS[wanted]
     context = market.context(snaps)
-    m = market.global_stats(snaps).join(W.wide(market.block_long(snaps), "market", market.WINDOWS, market.zeros()), "sample_id", "left")
-    return cross.joined(m, order.block(orders, context), transaction.block(orders.drop("order_action"), context))
+    make = {
+        "market": lambda only: market.block_of(snaps, market_windows, only),
+        "order": lambda only: order.block(orders, context, only=only),
+        "transaction": lambda only: transaction.block(orders.drop("order_action"), context, only=only),
+    }
+    return cross.joined(*(make[name](only) for name, only in needs.items()))
+
+
+def _unpivoted(rows: DataFrame) -> DataFrame:
+    """Every column but sample_id as a row (sample_id, name, value)."""
+    each = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in rows.columns if c != "sample_id"))
+    return rows.select("sample_id", F.explode(each).alias("x")).select("sample_id", "x.*")
 
 
 # --- flagship -------------------------------------------------------------------------------------
@@ -172,6 +182,13 @@ def clip_with_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", S.clip(x, 0.0, 5000.0).alias("y"), S.was_clipped(x, 0.0, 5000.0).alias("was_clipped")))
 
 
+@query("select event_type, count(*) as n, count(*) filter (where event_type not in ('error', 'view')) as finite, round(avg(value) filter (where event_type not in ('error', 'view')), 6) as mean from events group by 1")
+def finite_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN and infinite values count as missing."""
+    x = F.when(F.col("event_type") == "error", float("nan")).when(F.col("event_type") == "view", float("inf")).otherwise(F.col("value"))
+    return rounded(spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.count(S.finite(x)).alias("finite"), F.avg(S.finite(x)).alias("mean")))
+
+
 # --- feature blocks -------------------------------------------------------------------------------
 
 _DERIVED = ("mid_filled", "mid_bps", "spread_bps", "microprice_bps", "imbalance_l1", "imbalance_l2", "log_depth_l1", "log_depth_l2", "trade_price_bps", "reference_mid")
@@ -209,6 +226,25 @@ def market_globals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(market.global_stats(market.derive(adapters.snapshots(spark, sf_dir))))
 
 
+def _wide_sql(prefix: str, block: str, spine: str, windows: tuple[float, ...], zeros: dict[str, bool], digits: int = 5) -> str:
+    """Of a query's rows for each window: every sample of the spine in every window, by name, with 0 where an empty window counts as 0."""
+    values = ", ".join(f"round(coalesce({n}, 0e0), {digits}) as {n}" if zero else n for n, zero in zeros.items())
+    names = ", ".join(zeros)
+    return f"""with block as ({block}), spine as ({spine}), {Q.windows(*windows)}, every as (select sample_id, w, {values} from spine cross join windows left join block using (sample_id, w)),
+        named as (select * from (select sample_id, w, {", ".join(f"{n}::double as {n}" for n in zeros)} from every) unpivot include nulls (x for stat in ({names})))
+        select sample_id, '{prefix}__w' || w::int || '__' || stat as name, x as value from named"""
+
+
+_MARKET_BLOCK = f"with {Q.DERIVED}, {Q.windows(*market.WINDOWS)} select sample_id, w, {Q.rounded(_MARKET, 5)} from mk join windows on seconds <= w group by 1, 2"
+
+
+@query(_wide_sql("market", _MARKET_BLOCK, "select distinct l_suppkey as sample_id from lineitem", market.WINDOWS, market.zeros()))
+def market_block_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 366 columns of windows, by name."""
+    rows = market.block(adapters.snapshots(spark, sf_dir))
+    return rounded(_unpivoted(rows.drop(*(f"market__{n}" for n in market.GLOBALS))), 5)
+
+
 @query(f"with {Q.DERIVED} select sample_id, round(sqrt(coalesce(sum(mid_return * mid_return) filter (where prev_seconds <= 60 and seconds <= 60), 0)), 6) as realized_vol from mk group by 1")
 def realized_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.when((F.col("prev_seconds") <= 60) & (F.col("seconds") <= 60), F.col("mid_return"))
@@ -238,6 +274,18 @@ def order_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(order.block_long(_ord(spark, sf_dir)), 5)
 
 
+@query(_wide_sql("order", f"with {_ORD_DERIVED}, {Q.windows(*order.WINDOWS)} select sample_id, w, {Q.rounded(_ORDER, 5)} from od join windows on seconds <= w group by 1, 2", "select distinct l_suppkey as sample_id from lineitem", order.WINDOWS, order.zeros()))
+def order_block_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 186 columns of windows, by name."""
+    rows = order.block_of(_ord(spark, sf_dir))
+    return rounded(_unpivoted(rows.drop("order__row_count", "order__last_event_seconds")), 5)
+
+
+@query(f"with {_ORD_DERIVED} select sample_id, count(*)::double as order__row_count, round(arg_max(seconds, row_seq), 6) as order__last_event_seconds from od group by 1")
+def order_globals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(order.block_of(_ord(spark, sf_dir), only={"row_count", "last_event_seconds"}))
+
+
 @query(f"with {_ORD_DERIVED} select category, count(*) as n, round(sum(volume), 6) as volume from od group by 1")
 def order_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_ord(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.sum("volume").alias("volume")))
@@ -266,6 +314,21 @@ def transaction_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(transaction.block_long(_txn(spark, sf_dir)), 5)
 
 
+@query(_wide_sql("transaction", f"with {_TXN_DERIVED}, {Q.windows(*transaction.WINDOWS)} select sample_id, w, {Q.rounded(_TRADES, 5)} from td join windows on seconds <= w group by 1, 2", "select distinct user_id as sample_id from events", transaction.WINDOWS, transaction.zeros()))
+def transaction_block_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 132 columns of windows, by name."""
+    rows = transaction.block_of(_txn(spark, sf_dir))
+    return rounded(_unpivoted(rows.drop("transaction__row_count", "transaction__last_event_seconds")), 5)
+
+
+@query(f"with {_TXN_DERIVED}, s as (select c_custkey as sample_id from customer), n as (select sample_id, count(*)::double as n, sum(volume) as v from td where seconds <= 5 group by 1) select sample_id, coalesce(n, 0e0) as transaction__w5__event_count, round(coalesce(ln(1 + v), 0), 6) as transaction__w5__volume_logsum, round(arg_max(bps, row_seq), 6) as transaction__w5__price_bps__last from s left join n using (sample_id) left join (select * from td where seconds <= 5) using (sample_id) group by 1, 2, v")
+def samples_without_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as samples, of whom many have no events: counts and sums are 0, other statistics missing."""
+    spine = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("sample_id"))
+    block = transaction.block_of(_txn(spark, sf_dir), (5,), {"event_count", "volume_logsum", "price_bps__last"})
+    return rounded(W.on_spine(spine, block, {"transaction__w5__event_count", "transaction__w5__volume_logsum"}))
+
+
 _TRADE_ROWS = "tr as (select *, ln(greatest(price, 1e-12) / reference) * 1e4 as bps, case when side = 0 then volume else -volume end as tsigned from od)"
 
 
@@ -282,7 +345,15 @@ _TRADE_ROWS = "tr as (select *, ln(greatest(price, 1e-12) / reference) * 1e4 as
     from s left join f using (sample_id, w) left join m using (sample_id, w)""")
 def cross_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("flow_alignment", "flow_divergence", "order_volume_per_depth", "trade_volume_per_depth", "price_response_per_trade", "microprice_trade_divergence", "cancel_trade_divergence")
-    return rounded(_long(cross.cross(_wide(spark, sf_dir)), "cross__w{}__", cross.WINDOWS, names), 5)
+    return rounded(_long(cross.cross(_wide(spark, sf_dir, "cross", (5, 10, 30, 60))), "cross__w{}__", cross.WINDOWS, names), 5)
+
+
+@query("""with s as (select distinct l_suppkey as sample_id from lineitem), n as (select unnest(['cross__w1__flow_divergence', 'cross__w2__flow_divergence', 'cross__w5__flow_divergence']) as name) select sample_id, name from s, n""")
+def excluded_and_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the cross features without patterns of names, chosen in a given order."""
+    rows = cross.exclude(cross.cross(_wide(spark, sf_dir, "cross", (5, 10, 30, 60))), ["*__w?0__*", "cross__w*__*depth", "cross__w*__flow_alignment", "cross__w*__[pmc]*"])
+    kept = cross.select_exact(rows, [c for c in reversed(rows.columns) if c != "sample_id"])
+    return _unpivoted(kept).select("sample_id", "name")
 
 
 def _long(rows: DataFrame, prefix: str, windows, names) -> DataFrame:
@@ -308,7 +379,7 @@ def _sql_pressure(p: str, n: str) -> str:
 @query(_SHARES + " select sample_id, w, " + Q.rounded({f"{c}_{k}_share": _sql_ratio(f"{x}_{c}", x) for c in order.CATEGORIES for k, x in (("count", "n"), ("volume", "v"))}) + " from c")
 def derived_category_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [f"{c}_{k}_share" for c in order.CATEGORIES for k in ("count", "volume")]
-    return rounded(_long(cross.derived(_wide(spark, sf_dir), ("order_category_ratios",)), "order__w{}__", order.WINDOWS, names))
+    return rounded(_long(cross.derived(_wide(spark, sf_dir, "order_category_ratios"), ("order_category_ratios",)), "order__w{}__", order.WINDOWS, names))
 
 
 _ACT = {x: _sql_pressure(f"{x}_buy_new + {x}_sell_cancel", f"{x}_sell_new + {x}_buy_cancel") for x in "nv"}
@@ -321,7 +392,7 @@ _PRESSURE = {
 
 @query(_SHARES + " select sample_id, w, " + Q.rounded(_PRESSURE, 6, Q.OFF_TIES) + " from c")
 def derived_order_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_long(cross.derived(_wide(spark, sf_dir), ("order_pressure",)), "order__w{}__", order.WINDOWS, list(_PRESSURE)), 6, 1e-9)
+    return rounded(_long(cross.derived(_wide(spark, sf_dir, "order_pressure"), ("order_pressure",)), "order__w{}__", order.WINDOWS, list(_PRESSURE)), 6, 1e-9)
 
 
 @query(f"""with {Q.DERIVED}, {Q.windows(5, 10, 30, 60, 180, 600)}, g as (
@@ -332,7 +403,25 @@ def derived_order_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
            round(spread - sp6, 4) as spread_mean_change, round(slope - sl6, 4) as mid_slope_change, round(imb - imb6, 4) as imbalance_l2_mean_change from s left join g using (sample_id, w)""")
 def derived_temporal_dynamics(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("mid_std_regime_ratio", "realized_vol_regime_ratio", "spread_mean_change", "mid_slope_change", "imbalance_l2_mean_change")
-    return rounded(_long(cross.derived(_wide(spark, sf_dir), ("temporal_dynamics",)), "dynamics__w{}_w600__", (5, 10, 30, 60, 180), names), 4)
+    return rounded(_long(cross.derived(_wide(spark, sf_dir, "temporal_dynamics"), ("temporal_dynamics",)), "dynamics__w{}_w600__", (5, 10, 30, 60, 180), names), 4)
+
+
+_CHANGED = {"order_action_count_pressure": _ACT["n"], "order_signed_volume_imbalance": _sql_ratio("sv", "v"), "order_cancel_count_rate": _sql_ratio("(n_buy_cancel + n_sell_cancel)", "n"), "order_cancel_volume_rate": _sql_ratio("(v_buy_cancel + v_sell_cancel)", "v"), "transaction_count_imbalance": _sql_ratio("(tn0 - tn1)", "n"), "transaction_volume_imbalance": _sql_ratio("tv", "v"), "transaction_vwap": "vwap", "transaction_price_mean": "price_mean"}
+
+
+@query(f"""{_SHARES}, {_TRADE_ROWS}, t as (select sample_id, w, sum(signed) as sv, count(*) filter (where side = 0)::double as tn0, count(*) filter (where side = 1)::double as tn1, sum(tsigned) as tv, sum(bps * volume) / sum(volume) as vwap, avg(bps) as price_mean from tr join windows on seconds <= w group by 1, 2),
+    f as (select c.*, coalesce(sv, 0) as sv, coalesce(tn0, 0) as tn0, coalesce(tn1, 0) as tn1, coalesce(tv, 0) as tv, vwap, price_mean from c left join t using (sample_id, w)), x as (select sample_id, w, {", ".join(f"{v} as {k}" for k, v in _CHANGED.items())} from f)
+    select a.sample_id, a.w, {Q.rounded({f"{k}_change": f"a.{k} - b.{k}" for k in _CHANGED}, 4, Q.OFF_TIES)} from x a join x b on a.sample_id = b.sample_id and b.w = 60 where a.w < 60""")
+def derived_dynamics_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight changes of order and trade statistics from each shorter window to 60 s."""
+    names = [f"{k}_change" for k in _CHANGED]
+    return rounded(_long(cross.derived(_wide(spark, sf_dir, "temporal_dynamics"), ("temporal_dynamics",)), "dynamics__w{}_w60__", (1, 2, 5, 10, 30), names), 4, 1e-9)
+
+
+@query(f"""with {Q.DERIVED}, {Q.windows(*market.WINDOWS)}, g as (select sample_id, w, arg_max(mid_bps, row_seq) - arg_min(mid_bps, row_seq) as d, max(mid_bps) - min(mid_bps) as r, sqrt(coalesce(sum(mid_return * mid_return) filter (where prev_seconds <= w), 0)) as rv from mk join windows on seconds <= w group by 1, 2), s as (select distinct sample_id from mk)
+    select sample_id, w, {Q.rounded({"trend_efficiency": _sql_ratio("d", "rv"), "range_per_realized_vol": _sql_ratio("r", "rv")}, 4, Q.OFF_TIES)} from s cross join windows left join g using (sample_id, w)""")
+def derived_dynamics_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_long(cross.derived(_wide(spark, sf_dir, "temporal_dynamics"), ("temporal_dynamics",)), "dynamics__w{}__", market.WINDOWS, ("trend_efficiency", "range_per_realized_vol")), 4, 1e-9)
 
 
 # --- folds and targets ----------------------------------------------------------------------------
@@ -408,13 +497,13 @@ _GATE = f"""{Q.LABELS}, {Q.FOLDS}, v as (select lab.*, fold from lab join folds
     select fold, 'model' as name, {Q.cos("target", "(a + b)")} as score from v group by 1 union all select fold, 'first', {Q.cos("target", "a")} from v group by 1 union all select fold, 'second', {Q.cos("target", "b")} from v group by 1), m as (select name, avg(score) as mean from s group by 1)"""
 
 
-@query(f"""with {_GATE}, f as (select fold, max(score) filter (where name = 'model') as model, max(score) filter (where name <> 'model') as signal from s group by 1), late as (select bool_and(model > signal) as ok from (select * from f order by fold desc limit 2)), b as (select arg_max(name, mean) as name, max(mean) as mean from m where name <> 'model'), a as (select mean from m where name = 'model')
+@query(f"""with {_GATE}, f as (select fold, any_value(v0) as v0, max(score) filter (where name = 'model') as model, max(score) filter (where name <> 'model') as signal from s join folds using (fold) group by 1), late as (select bool_and(model > signal) as ok from (select * from f order by v0 desc limit 2)), b as (select arg_max(name, mean) as name, max(mean) as mean from m where name <> 'model'), a as (select mean from m where name = 'model')
     select round(a.mean, 6) as model_fold_mean, b.name as best_baseline, round(b.mean, 6) as best_baseline_fold_mean, ok as late_folds_passed, a.mean > b.mean as mean_passed, a.mean > b.mean and ok as passed from a, b, late""")
 def baseline_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = folds.in_folds(adapters.labels(spark, sf_dir)).where("part = 'valid'")
     t = F.col("target")
-    scores = valid.groupBy("fold").agg(*(A.cosine(t, x).alias(n) for n, x in (("model", F.col("a") + F.col("b")), ("first", F.col("a")), ("second", F.col("b")))))
-    rows = scores.select("fold", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("score")) for n in ("model", "first", "second")))).alias("s")).select("fold", "s.*")
+    scores = valid.groupBy("fold").agg(F.min("month").alias("begin"), *(A.cosine(t, x).alias(n) for n, x in (("model", F.col("a") + F.col("b")), ("first", F.col("a")), ("second", F.col("b")))))
+    rows = scores.select("fold", "begin", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("score")) for n in ("model", "first", "second")))).alias("s")).select("fold", "begin", "s.*")
     return rounded(metrics.baseline_gate(rows))
 
 
@@ -441,6 +530,22 @@ def run_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(runs.ensemble([_run(spark, sf_dir, "a"), _run(spark, sf_dir, "b")], seeds=[1, 2]).select("sample_id", "fold", "prediction"))
 
 
+_PARTIAL = "p as (select * from v where sample_id % 7 <> 0 union all select * from v where sample_id % 11 = 1)"
+
+
+@query(f"with {_RUNS}, {_PARTIAL}, x as (select sample_id, month, target, fold, count(*) as n from p group by all) select v.sample_id, v.month, v.fold, 1 + coalesce(n, 0) as n from v left join x using (sample_id, month, fold) where coalesce(n, 0) <> 1")
+def run_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that one of two runs lacks or has twice."""
+    a, b = _run(spark, sf_dir, "a"), _run(spark, sf_dir, "b")
+    partial = b.where("sample_id % 7 <> 0").union(b.where("sample_id % 11 = 1"))
+    return rounded(runs.contract_violations([a, partial]).select("sample_id", "month", "fold", "n"))
+
+
+@query(f"with {_RUNS}, n as (select sqrt(sum(a * a)) as na, sqrt(sum(b * b)) as nb from v), g as (select range / 100e0 as weight from range(101)), x as (select weight, {Q.cos('target', '((1 - weight) * a / na + weight * b / nb)')} as score from v, n, g group by 1), w as (select arg_max(weight, score) as w from x) select sample_id, fold, round((1 - w) * a / na + w * b / nb, 8) as prediction from v, n, w")
+def blend_of_best_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(runs.blend_found(_run(spark, sf_dir, "a"), _run(spark, sf_dir, "b"))[0].select("sample_id", "fold", "prediction"), 8)
+
+
 @query(f"with {_RUNS}, n as (select sqrt(sum(a * a)) as na, sqrt(sum(b * b)) as nb from v) select sample_id, fold, round(0.25e0 * a / na + 0.75e0 * b / nb, 8) as prediction from v, n")
 def run_blend_unit_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(runs.blend([_run(spark, sf_dir, "a"), _run(spark, sf_dir, "b")], [1, 3]).select("sample_id", "fold", "prediction"), 8)
@@ -477,11 +582,50 @@ def recent_n_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sequences.recent(adapters.transactions(spark, sf_dir), 20).select("sample_id", "row_seq", "step", "price"))
 
 
-@query(f"with {_TXN_DERIVED}, r as (select *, row_number() over (partition by sample_id order by row_seq desc) as back from td), s as (select distinct sample_id from txn), steps as (select sample_id, range as step from s cross join range(64)) select sample_id, step, back is not null as mask, round((case when back is null then 0 else least(seconds / 60, 1) end)::float::double, 5) as seconds, round(coalesce(ln(1 + volume) / 10, 0)::float::double, 5) as volume from steps left join (select *, 64 - back as step from r) using (sample_id, step)")
+def _steps(rows: str, samples: str, n: int, features: dict[str, str], where: str = "") -> str:
+    """SQL of sequences: the last n rows of each sample, zeros before them. Features are taken as 32-bit floats."""
+    made = ", ".join(f"round(coalesce(({v})::float::double, 0e0), 5) as {k}" for k, v in features.items())
+    return f"""r as (select *, row_number() over (partition by sample_id order by row_seq desc) as back from {rows}), s as (select distinct sample_id from {samples}), steps as (select sample_id, range as step from s cross join range({n}))
+        select sample_id, step, back is not null as mask, {made} from steps left join (select *, {n} - back as step from r) using (sample_id, step){where}"""
+
+
+def _bound(x: str, low: str, high: str) -> str:
+    return f"case when ({x}) is null then 0e0 else greatest(least({x}, {high}), {low}) end"
+
+
+def _ten(x: str) -> str:
+    return _bound(x, "-10e0", "10e0")
+
+
+_TRADE_STEPS = {
+    "f0": f"case when back is not null then {_bound('seconds / 60', '0e0', '1e0')} end", "f1": _bound("gap / 60", "0e0", "1e0"), "f2": _ten("bps / 100"), "f3": _ten("coalesce(bps - prev_bps, 0) / 10"), "f4": "ln(1 + volume) / 10", "f5": "same",
+    "side_code": "case side when 0 then 1 when 1 then 2 end",
+}
+
+
+def _by_step(sequences_: DataFrame, names: list[str]) -> DataFrame:
+    each = sequences_.select("sample_id", F.posexplode(F.arrays_zip("features", "mask")).alias("step", "x"))
+    return rounded(each.select("sample_id", "step", "x.mask", *(F.col("x.features")[k].alias(n) for k, n in enumerate(names))), 5)
+
+
+@query(f"with {_TXN_DERIVED}, tq as (select *, lag(bps) over (partition by sample_id order by row_seq) as prev_bps from td), " + _steps("tq", "txn", 64, _TRADE_STEPS))
 def padded_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = sequences.padded(sequences.transaction_rows(_txn(spark, sf_dir)), 64, [f"f{k}" for k in range(6)])
-    each = seq.select("sample_id", F.posexplode(F.arrays_zip("features", "mask")).alias("step", "x"))
-    return rounded(each.select("sample_id", "step", "x.mask", F.col("x.features")[0].alias("seconds"), F.col("x.features")[4].alias("volume")), 5)
+    """The last 64 trades of each sample: all six features and the side."""
+    names = [*(f"f{k}" for k in range(6)), "side_code"]
+    return _by_step(sequences.padded(sequences.transaction_rows(_txn(spark, sf_dir)), 64, names), names)
+
+
+_BOOK_STEPS = {
+    "f0": f"case when back is not null then {_bound('seconds / 600', '0e0', '1e0')} end", "f1": _ten("mid_bps / 100"), "f2": _ten("coalesce(mid_return, 0) / 10"), "f3": _ten("spread_bps / 100"), "f4": _ten("microprice_bps / 10"), "f5": "imbalance_l1", "f6": "imbalance_l2",
+    "f7": "log_depth_l1 / 10", "f8": "log_depth_l2 / 10", "f9": _ten("trade_price_bps / 100"), "f10": "ln(1 + pv) / 10", "f11": "ln(1 + pc) / 10", "f12": "(trade = 'positive')::int", "f13": "ok1::int", "f14": _bound("coalesce(prev_seconds - seconds, 0) / 60", "0e0", "10e0"),
+}
+
+
+@query(f"with {Q.DERIVED}, " + _steps("mk", "mk", sequences.STEPS["market"], _BOOK_STEPS))
+def market_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 212 snapshots of each sample: all fifteen features."""
+    names = [f"f{k}" for k in range(15)]
+    return _by_step(sequences.padded(sequences.market_rows(market.derive(adapters.snapshots(spark, sf_dir))), sequences.STEPS["market"], names), names)
 
 
 _TEN = "case when vol > 0 then greatest(least({}, 10), -10) end"
