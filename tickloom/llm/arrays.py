@@ -20,7 +20,7 @@ LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _STEP = U(0xD6E8FEB86659FD93)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

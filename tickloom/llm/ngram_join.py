@@ -10,9 +10,11 @@ only those are dealt out, packed as arrays.
 Candidates are compared in tries: sets are inserted along their order, a probe carries the overlap of
 the shared path into the branches, and a subtree is left as soon as what remains of the probe and of
 its sets cannot reach the overlap that is asked for, or once all of it is known to be in the probe's
-own component. A first round compares each set with one hub per shared shingle. A second round
-compares what shares a shingle, is of a like size and still in different components; it makes the result exact
-and spares large groups of copies from being compared pair by pair.
+own component. The first rounds compare each set with one hub per shared shingle, and with what falls into
+the same trie; a round looks at shingles that several components still hold, with other hubs and other
+tries. The last round compares all that share a shingle, are of a like size and still in different
+components; it makes the result exact, and the rounds before spare large groups of copies from being
+compared pair by pair.
 
 Defined results: lower-cased A-Z, words ``[^\\x20\\x09-\\x0D]+``; fewer than n words are one shingle;
 null, empty or blank texts have an empty set and are linked with nothing. Repeated rows are rows of
@@ -35,21 +37,23 @@ from pyspark.sql import functions as F
 from .arrays import U, Words, chunks, shingle_sets, utf8
 from .components import component_labels
 from .joins import attached
-from .scratch import pointed, written
+from .scratch import pointed, released, written
 
 N = 5
 #: The threshold as a fraction of integers: 100 * intersection >= 80 * union.
 PERCENT = 80
 #: Shingles that are counted, and dealt out, at a time within a task.
-BLOCK = 1_500_000
+BLOCK = 1_000_000
 #: Buckets of shingles by their first bits, whose counts order them.
 BUCKET_BITS = 22
 #: At most so many frequent buckets: one must have at least this part of all shingles.
 FREQUENT = 1 << 18
 #: Sets that can be linked are of the same or neighbouring bands of sizes, each so many times as wide as the one before.
 BAND = 1.26
-#: Sets in one trie.
-TRIE_SETS = 256
+#: Sets in one trie, and how often hubs are chosen and their members dealt to tries anew.
+TRIE_SETS, DEALS = 256, 3
+#: Pairs of classes with one shingle that may be looked at for each row (shingle, class).
+PAIRS = 4
 #: Bits of the filter that tells a scan which documents are candidates; more candidates only let more rows pass it.
 FILTER_BITS = 1 << 25
 
@@ -292,11 +296,12 @@ def _verify(key, table):
     return pa.table({"a": pa.array([classes[i] for i, _ in links], pa.int64()), "b": pa.array([classes[j] for _, j in links], pa.int64())})
 
 
-def linked(candidates: DataFrame, docs: DataFrame, reps: DataFrame, labels: DataFrame, n: int = N) -> DataFrame:
-    """Links (a, b) among candidates (hub, member), each compared exactly. Hubs of many members are dealt to many tries."""
+def linked(candidates: DataFrame, docs: DataFrame, reps: DataFrame, labels: DataFrame, n: int = N, deal: int = 0) -> DataFrame:
+    """Links (a, b) among candidates (hub, member), each compared exactly. Hubs of many members are dealt to many tries,
+    in another way for each ``deal``."""
     spark = docs.sparkSession
     size = candidates.groupBy("hub").agg(F.count("*").alias("m"))
-    c = candidates.join(size, "hub").withColumn("salt", F.pmod(F.xxhash64("member"), F.expr(f"cast(ceil(m / {TRIE_SETS}) as int)")))
+    c = candidates.join(size, "hub").withColumn("salt", F.pmod(F.xxhash64("member", F.lit(deal)), F.expr(f"cast(ceil(m / {TRIE_SETS}) as int)")))
     both = written(c.select("hub", "salt", F.col("member").alias("class")).union(c.select("hub", "salt", F.col("hub").alias("class")).distinct()), "tries")
     # A class of rows without a doc_id has a null rep, which like every null has one hash and so a bit of its own.
     wanted = written(both.select("class").distinct().join(reps, "class").select("class", "rep"), "wanted")
@@ -333,6 +338,19 @@ def _enough(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("hub", "member", "n", "m").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("hub", "member")
 
 
+def open_tokens(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``shared`` with their components, and (token, m) of the tokens that several components hold, in m classes."""
+    marked = shared.join(labels, "class", "left").select("token", "class", "n", F.coalesce("component", "class").alias("component"))
+    return marked, pointed(marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("token", "m"))
+
+
+def hub_pairs(marked: DataFrame, deal: int) -> DataFrame:
+    """(hub, member) of every class and the hubs of its tokens, others for each ``deal``."""
+    hubs = marked.groupBy("token").agg(F.min_by(F.struct("class", "n"), F.xxhash64("class", F.lit(deal))).alias("h"))
+    pairs = marked.join(hubs, "token").where(F.col("class") != F.col("h.class"))
+    return _enough(pairs.select(F.col("h.class").alias("hub"), F.col("class").alias("member"), F.col("h.n").alias("n"), F.col("n").alias("m")))
+
+
 def ngram_components(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, n_shingles, class and component_id (the smallest doc_id that links reach) of every document."""
     spark = docs.sparkSession
@@ -350,22 +368,26 @@ def ngram_components(docs: DataFrame, n: int = N) -> DataFrame:
     shared = written(dealt.groupBy("part").applyInArrow(_shared, "token long, class long, n long"), "shared")
     reps = classes.select("class", "rep")
 
-    hubs = shared.groupBy("token").agg(F.min_by(F.struct("class", "n"), F.xxhash64("class")).alias("h"))
-    first = shared.join(hubs, "token").where(F.col("class") != F.col("h.class")).select(F.col("h.class").alias("hub"), F.col("class").alias("member"), F.col("h.n").alias("n"), F.col("n").alias("m"))
-    first = _enough(first)
-    none = spark.createDataFrame([], "class long, component long")
-    links = written(linked(first, docs, reps, none, n), "links")
-    labels = component_labels(links)
+    rows = shared.count()
+    labels, links = spark.createDataFrame([], "class long, component long"), spark.createDataFrame([], "a long, b long")
+    for deal in range(DEALS):
+        marked, open_ = open_tokens(shared, labels)
+        if (open_.agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0) <= PAIRS * rows:
+            break  # comparing all that is open is no more work than another round
+        candidates = hub_pairs(marked.join(open_.select("token"), "token"), deal)
+        links = links.union(written(linked(candidates, docs, reps, labels, n, deal), "links"))
+        labels = component_labels(links)
+        released(spark)
 
-    marked = shared.join(labels, "class", "left").select("token", "class", "n", F.coalesce("component", "class").alias("component"))
-    mixed = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    open_ = marked.join(mixed, "token").withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int"))
+    marked, open_ = open_tokens(shared, labels)
+    open_ = marked.join(open_.select("token"), "token").withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int"))
     o = open_.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("class").alias("member"), F.col("n").alias("m"), F.col("component").alias("other"))
     pairs = open_.join(o, ["token", "band"]).where(F.col("component") < F.col("other"))
-    second = written(_enough(pairs.select(F.col("class").alias("hub"), "member", "n", "m")), "second")
-    if not second.isEmpty():
-        links = links.union(written(linked(second, docs, reps, labels, n), "links"))
+    rest = written(_enough(pairs.select(F.col("class").alias("hub"), "member", "n", "m")), "rest")
+    if not rest.isEmpty():
+        links = links.union(written(linked(rest, docs, reps, labels, n), "links"))
         labels = component_labels(links)
+    released(spark, shared)
 
     named = classes.join(labels, "class", "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
