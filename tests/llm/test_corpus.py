@@ -161,6 +161,17 @@ def normal(line):
     return " ".join(w for w in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if w)
 
 
+def left_by_hand(rows):
+    """{doc_id: text} after line dedup, every pair of lines compared. Rows that share a doc_id have one text here."""
+    norm = {(i, place): x for i, t, *_ in rows for place, line in enumerate((t or "").split("\n")) if (x := normal(line))}
+    first = {}
+    for k in sorted(norm):
+        first.setdefault(norm[k], k)
+    lines = sorted(first.values())
+    group = joined([(a, b) for a in lines for b in lines if a < b and alike(norm[a], norm[b])], lines)
+    return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in norm or group[first[norm[i, p]]] == (i, p)) for i, t, *_ in rows}
+
+
 def test_line_dedup(spark, empty):
     """Every pair of lines is compared here; null and empty texts, lines of marks alone, repeated rows and lines, very
     long lines, columns whose names the operator uses."""
@@ -168,24 +179,31 @@ def test_line_dedup(spark, empty):
     edited = long.replace(" a", " b", 1)
     rows = [(1, "Alpha beta!\nGamma delta.\n\n--\nunique one", "a"), (2, "gamma   DELTA\nother line\nother line", "a"), (3, long, "b"), (4, "x\n" + edited, "b"), (5, None, "c"), (6, "", None), (7, "--\n\n", "c"), (8, "alpha beta", "c"), (8, "alpha beta", "c"), (9, prose(22, 300) + "\n" + prose(23, 40_000), "c"), (10, "unique oni\ngamna delta", "d")]
     docs = table(spark, rows).withColumnsRenamed({"class": "of", "n": "of_version", "token": "places", "size": "version", "line": "d", "target": "kept", "copy": "of version"})
-    norm = {(i, place): x for i, t, _ in rows for place, line in enumerate((t or "").split("\n")) if (x := normal(line))}
-    assert {(r.doc_id, r.place) for r in line_dedup.occurrences(docs).collect()} == set(norm)
-    first = {}
-    for k in sorted(norm):
-        first.setdefault(norm[k], k)
-    lines = sorted(first.values())
-    group = joined([(a, b) for a in lines for b in lines if a < b and alike(norm[a], norm[b])], lines)
-    want = {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in norm or group[first[norm[i, p]]] == (i, p)) for i, t, _ in rows}
+    want = left_by_hand(rows)
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
     for r in out.collect():
         assert r.text == want[r.doc_id] and r.d == "c" and r.of == "a"
     digested = {(r.doc_id, r.n_lines, r.n_kept, r.kept_sha256) for r in line_dedup.digest(docs).collect()}
     count = lambda t: len(t.split("\n")) if t else 0
-    assert digested == {(i, count(t), count(want[i]), t and want[i] is not None and hashlib.sha256(want[i].encode()).hexdigest() or (None if t is None else hashlib.sha256(b"").hexdigest())) for i, t, _ in rows}
+    assert digested == {(i, count(t), count(want[i]), None if t is None else hashlib.sha256(want[i].encode()).hexdigest()) for i, t, _ in rows}
     assert line_dedup.dedup_lines(empty).count() == 0 and line_dedup.digest(empty).count() == 0
 
 
+def test_lines_of_a_crowded_key(spark):
+    """A passage in very many lines that are otherwise unlike, some of which have a near copy."""
+    passage, rows, pairs = prose(800, 18), [], 0
+    for k in range(140):
+        w = prose(2000 + k, 30).split(" ")
+        rows.append((k, " ".join([*w[:10], passage, *w[10:]]), "a"))
+        if k % 7 == 0:
+            rows.append((1000 + k, " ".join([*w[:10], passage, *w[10:29], "changed"]), "a"))
+            pairs += 1
+    want = left_by_hand(rows)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
+    assert got == want and sum(not t for t in want.values()) == pairs
+
+
 def test_line_recall(spark, sf_dir):
     """Of all pairs of lines that share a pair of words that is not very common and are alike, nine in ten are in one
     group; lines in one group are joined by pairs that are alike."""
@@ -364,13 +382,94 @@ def test_records():
     assert payload == b"" and b"Content-Length: 7" in http and warc.page_of(fields["WARC-Refers-To"]) == 9
 
 
-def test_pipeline(spark, sf_dir):
+def test_oracle_of_the_join(spark, near_rows):
+    c = duckdb.connect()
+    docs = table(spark, near_rows)
+    frame = docs.toPandas()  # noqa: F841
+    want = sorted(c.sql(queries.ORACLES["op2_ngram_join"].replace("from documents", "from frame")).fetchall())
+    assert want == sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs).collect())
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, odd_rows, tmp_path_factory):
+    """Odd documents, near copies and shared lines, with labels, as a folder of tables."""
+    base, rows = prose(61, 90), [r for r in odd_rows if r[0] != 8]
+    for k in range(6):
+        w = base.split(" ")
+        w[3 * k] = "swapped"
+        rows.append((300 + k, " ".join(w) + "\n" + prose(70 + k, 15), "ab"[k % 2]))
+    rows += [(400 + k, "\n".join([prose(90, 14), prose(80 + k, 60), prose(91 + k % 2, 11)]), "c") for k in range(8)]
+    again = prose(62, 120).split(" ")  # the same words in lines of other lengths, which are unlike
+    rows += [(450 + n, "\n".join(" ".join(again[k : k + n]) for k in range(0, 120, n)), "b") for n in (20, 40)] + [(449, " ".join(again), "a")]
+    rows += [(500 + k, "buy now " * 30 if k % 2 else " ".join(["$$$ win"] * 15 + prose(600 + k, 30).split(" ")), "d") for k in range(24)]
+    at = tmp_path_factory.mktemp("corpus")
+    table(spark, rows).withColumnRenamed("class", "d").write.parquet(f"{at}/documents.parquet")
+    labels = [(i, int(i < 500), 0) for i, t, _ in rows if i and i % 3]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def test_pipeline(spark, corpus):
+    """Every stage on what the one before kept, held against plain Python; the documents' columns stay as they are."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
+    from tickloom.llm import quality
+    from tickloom.llm.arrays import Words, utf8
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, sf_dir)
-        assert after.columns == names, name
+    from .test_text import rules
+
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    names, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    held = lambda df: [tuple(r) for r in df.select("doc_id", "text", "source").collect()]
+
+    def step(name):
+        nonlocal docs
+        before, after = held(docs), stages[name](spark, docs, corpus)
+        assert after.columns == names
         docs = spark.createDataFrame(after.collect(), docs.schema)
-    assert corpus_pipeline.run(spark, sf_dir).count() > 0 and docs.count() > 0
+        return before, held(docs)
+
+    model = quality.train(docs, spark.read.parquet(f"{corpus}/labels.parquet"))
+    before, after = step("quality rules")
+    kept = set()
+    for i, t, _ in before:
+        n, _, _, _, again = rules(t)
+        if n >= 20 and 100 * again <= 30 * n and model.probability(Words(*utf8(pa.array([t]))))[0] >= quality.KEEP_AT:
+            kept.add(i)
+    assert {i for i, _, _ in after} == kept and not any(i and i >= 500 for i in kept) and sum(20 <= (i or 0) < 450 for i in kept) >= 35
+
+    before, after = step("line dedup")
+    want = left_by_hand(before)
+    assert sorted(after, key=repr) == sorted(((i, want[i], s) for i, _, s in before), key=repr) and sum(a != b for a, b in zip(sorted(before), sorted(after), strict=True)) >= 8
+
+    before, after = step("n-gram join")
+    _, component, links = by_hand(before)
+    assert links and sorted(i for i, _, _ in after) == sorted(i for i in component if component[i] == i)
+
+    before, after = step("mixing")
+    sizes, taken, copies = Counter(), Counter(), Counter(i for i, _, _ in after)
+    for _, t, s in before:
+        sizes[s] += len(words(t))
+    for _, t, s in after:
+        taken[s] += len(words(t))
+    aims, largest = targets_by_hand(dict(sizes)), max(len(words(t)) for _, t, _ in before)
+    assert set(after) <= set(before) and max(copies.values()) <= 3 and all(abs(taken[s] - aims[s]) <= largest for s in aims)
+
+    pieces = stages["packing"](spark, docs, corpus).collect()
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    each = Counter(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x, _ in held(docs))
+    assert Counter(r.doc_tokens for r in pieces if r.start == 0) == each and sum(r.length for r in pieces) == sum(k * n for k, n in each.items())
+
+    got = corpus_pipeline.run(spark, corpus)
+    assert Counter(map(tuple, got.select("doc_id", "start", "length", "ids_crc32").collect())) == Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in pieces)
+
+
+def test_pipeline_of_an_empty_table(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{corpus}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

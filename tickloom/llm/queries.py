@@ -63,6 +63,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_license_scan, op4_warc, op5_katz, op6_packing, op7_mixing, op8_token_counts, op9_fingerprints, op10_quality_rules)}
 ORACLES: dict[str, str] = {
+    "op2_ngram_join": """
+        with recursive words as (
+            select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents), sets as (
+            select rid, doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from words), held as (
+            select rid, len(s) as n, unnest(s) as shingle from sets), links as (
+            select a.rid as x, b.rid as y from held a join held b on a.shingle = b.shingle and a.rid <> b.rid where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by a.rid, b.rid, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))), reached as (
+            select rid, rid as other from sets union select r.rid, l.y from reached r join links l on l.x = r.other)
+        select s.doc_id, len(s.s) as n_shingles, min(o.doc_id) as component_id from sets s join reached r on r.rid = s.rid join sets o on o.rid = r.other group by s.rid, s.doc_id, len(s.s)""",
     "op4_warc": """
         with p as (select page_id, coalesce(html, '') as h from pages),
              q as (select page_id, strlen(h) as n, sha1(h) as d, max(page_id) over (partition by h) as m from p)
