@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import chunks, utf8
+from .arrays import chunks, tidy, utf8
 
 REMEMBERED = 300_000
 LIMIT = 2048
@@ -119,6 +119,7 @@ def merger(path: str) -> Merger:
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document; one pass, no shuffle."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(vocabulary)
         for batch in chunks(batches):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, Words, chunks, shingle_sets, utf8
+from .arrays import U, Words, chunks, freed, shingle_sets, tidy, utf8
 from .components import component_labels
 from .joins import attached
 from .scratch import pointed, released, written
@@ -106,6 +106,7 @@ def buckets_of(shingles: np.ndarray) -> np.ndarray:
 def describe(docs: DataFrame, n: int = N) -> DataFrame:
     """Rows (doc_id, n_shingles, class) of documents, and rows (bucket, df) of shingles that a block holds in several classes."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, none = ["doc_id", "n_shingles", "class", "bucket", "df"], lambda k, kind: pa.nulls(k, kind)
         for ids, sets, classes in _blocks(batches, n):
@@ -147,6 +148,7 @@ def postings(docs: DataFrame, order, parts: int, n: int = N) -> DataFrame:
     """The first shingles of every class of a block, packed by part: infrequent ones are dealt by shingle, which
     few classes can share, frequent ones by class."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
         for _, sets, classes in _blocks(batches, n):
@@ -174,6 +176,7 @@ def postings(docs: DataFrame, order, parts: int, n: int = N) -> DataFrame:
 
 def _shared(key, table):
     """Of one part, the postings of shingles that several classes have; of frequent shingles, all."""
+    freed()
     t, c, z = [], [], []
     for blob in table.column("blob").to_pylist():
         m = len(blob) // 20
@@ -311,6 +314,7 @@ def linked(candidates: DataFrame, docs: DataFrame, reps: DataFrame, labels: Data
         filled[row["page"] * 32768 + np.array(row["bits"])] = True
     held = spark.sparkContext.broadcast(np.packbits(filled))
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for batch in batches:

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .arrays import chunks
+from .arrays import chunks, tidy
 from .bpe_count import byte_symbols
 from .scratch import written
 
 WINDOW = 2048
 END_ID = 1
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Pieces that one task ranks at most, if all are of one length.
 RANKED = 500_000
 #: The fast engine's pattern runs out of stack in runs of blanks that are far longer than this.
@@ -98,6 +98,7 @@ _encoders: dict[str, Encoder] = {}
 def cut(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
     """The pieces of every document: full windows and a rest."""
 
+    @tidy
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _encoders:
             _encoders[vocabulary] = Encoder(vocabulary)

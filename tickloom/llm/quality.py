@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import SPACE, U, VALUE_EXACT, Words, chunks, mixed, span_hashes, utf8, windows
+from .arrays import SPACE, U, VALUE_EXACT, Words, chunks, mixed, span_hashes, tidy, utf8, windows
 
 #: Labelled rows that training reads at most, taken in the order of a hash of doc_id.
 MAX_TRAIN_ROWS = 3000
@@ -104,6 +104,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(w) + self.shift, -500, 500)))
 
 
+@tidy
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         w = Words(*utf8(batch.column(1)))
@@ -191,6 +192,7 @@ def judge(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
     """The rule counts, the calibrated probability and the verdict of every document."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 * 2**BITS weights
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in chunks(batches):
@@ -208,6 +210,7 @@ def filter_documents(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) ->
     names, schema = docs.columns, docs.schema
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in chunks(batches):

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import attached
+from .arrays import tidy
 from .scratch import pointed, scratch_path, written
 
 LEAST_SHARED = 1000
@@ -110,6 +111,7 @@ def described(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes the archives; a row for each capture, stored."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _store(folder)
         name, at, out = f"pages-{uuid.uuid4().hex}.warc.gz", 0, None
@@ -151,6 +153,7 @@ def place_of(key: str, page_id: int | None) -> tuple[bytes, int]:
 def write_index(captures: DataFrame, folder: str) -> list[tuple[tuple[bytes, int], str]]:
     """Writes blocks and directories; returns the first place and the name of each part, one for each task."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _store(folder)
         name, lines, directory, at, out, first = f"index-{uuid.uuid4().hex}", [], [], 0, None, None
@@ -234,6 +237,7 @@ def read_back(pages: DataFrame, folder: str, parts: list) -> DataFrame:
     """What the archives say of every page, looked up by its key."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, last, nth = Reader(folder, parts), None, 0
         for batch in batches:
