@@ -10,11 +10,10 @@ only those are dealt out, packed as arrays.
 Candidates are compared in tries: sets are inserted along their order, a probe carries the overlap of
 the shared path into the branches, and a subtree is left as soon as what remains of the probe and of
 its sets cannot reach the overlap that is asked for, or once all of it is known to be in the probe's
-own component. The first rounds compare each set with one hub per shared shingle, and with what falls into
-the same trie; a round looks at shingles that several components still hold, with other hubs and other
-tries. The last round compares all that share a shingle, are of a like size and still in different
-components; it makes the result exact, and the rounds before spare large groups of copies from being
-compared pair by pair.
+own component. A first round compares each set with one hub per shared shingle, and with what falls into
+the same trie. The second round makes the result exact: it compares all that share a shingle and are still in
+different components, pair by pair if they are of like sizes and at most 64 share the shingle, and else those
+outside the largest component with all, block by block. So large groups of copies are not compared pair by pair.
 
 Defined results: lower-cased A-Z, words ``[^\\x20\\x09-\\x0D]+``; fewer than n words are one shingle;
 null, empty or blank texts have an empty set and are linked with nothing. Repeated rows are rows of
@@ -50,10 +49,10 @@ BUCKET_BITS = 22
 FREQUENT = 1 << 18
 #: Sets that can be linked are of the same or neighbouring bands of sizes, each so many times as wide as the one before.
 BAND = 1.26
-#: Sets in one trie, and how often hubs are chosen and their members dealt to tries anew.
-TRIE_SETS, DEALS = 256, 3
-#: Pairs of classes with one shingle that may be looked at for each row (shingle, class).
-PAIRS = 4
+#: Sets in one trie.
+TRIE_SETS = 256
+#: Classes with one shingle of which single pairs are looked at; more are compared in blocks.
+CROWD = 64
 #: Bits of the filter that tells a scan which documents are candidates; more candidates only let more rows pass it.
 FILTER_BITS = 1 << 25
 
@@ -299,13 +298,17 @@ def _verify(key, table):
     return pa.table({"a": pa.array([classes[i] for i, _ in links], pa.int64()), "b": pa.array([classes[j] for _, j in links], pa.int64())})
 
 
-def linked(candidates: DataFrame, docs: DataFrame, reps: DataFrame, labels: DataFrame, n: int = N, deal: int = 0) -> DataFrame:
-    """Links (a, b) among candidates (hub, member), each compared exactly. Hubs of many members are dealt to many tries,
-    in another way for each ``deal``."""
-    spark = docs.sparkSession
+def dealt_to_tries(candidates: DataFrame) -> DataFrame:
+    """(hub, salt, class): hubs beside their members, those of many members in several tries."""
     size = candidates.groupBy("hub").agg(F.count("*").alias("m"))
-    c = candidates.join(size, "hub").withColumn("salt", F.pmod(F.xxhash64("member", F.lit(deal)), F.expr(f"cast(ceil(m / {TRIE_SETS}) as int)")))
-    both = written(c.select("hub", "salt", F.col("member").alias("class")).union(c.select("hub", "salt", F.col("hub").alias("class")).distinct()), "tries")
+    c = candidates.join(size, "hub").withColumn("salt", F.pmod(F.xxhash64("member"), F.expr(f"cast(ceil(m / {TRIE_SETS}) as long)")))
+    return c.select("hub", "salt", F.col("member").alias("class")).union(c.select("hub", "salt", F.col("hub").alias("class")).distinct())
+
+
+def linked(tries: DataFrame, docs: DataFrame, reps: DataFrame, labels: DataFrame, n: int = N) -> DataFrame:
+    """Links (a, b) that connect all classes of a trie (hub, salt, class) that reach the threshold, each compared exactly."""
+    spark = docs.sparkSession
+    both = written(tries, "tries")
     # A class of rows without a doc_id has a null rep, which like every null has one hash and so a bit of its own.
     wanted = written(both.select("class").distinct().join(reps, "class").select("class", "rep"), "wanted")
     bits = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("bit")).groupBy(F.expr("bit div 32768").alias("page")).agg(F.collect_set(F.expr("cast(bit % 32768 as int)")).alias("bits"))
@@ -348,13 +351,43 @@ def open_tokens(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
     return marked, pointed(marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("token", "m"))
 
 
-def hub_pairs(marked: DataFrame, deal: int) -> DataFrame:
-    """(hub, member) of every class and the hubs of its tokens, others for each ``deal``."""
-    hubs = marked.groupBy("token").agg(F.min_by(F.struct("class", "n"), F.xxhash64("class", F.lit(deal))).alias("h"))
-    pairs = marked.join(hubs, "token").where(F.col("class") != F.col("h.class"))
+def with_hubs(marked: DataFrame) -> DataFrame:
+    """Rows of classes beside the hubs ``h`` of their tokens: of each token the class of the least hash."""
+    hubs = marked.groupBy("token").agg(F.min_by(F.struct("class", "n"), F.xxhash64("class")).alias("h"))
+    return marked.join(hubs, "token")
+
+
+def hub_pairs(marked: DataFrame) -> DataFrame:
+    """(hub, member) of every class and the hubs of its tokens."""
+    pairs = with_hubs(marked).where(F.col("class") != F.col("h.class"))
     return _enough(pairs.select(F.col("h.class").alias("hub"), F.col("class").alias("member"), F.col("h.n").alias("n"), F.col("n").alias("m")))
 
 
+def open_pairs(marked: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(hub, member) of classes that share a token of few classes, are of like sizes and in different components."""
+    own = marked.join(tokens, "token").withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int"))
+    o = own.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("class").alias("member"), F.col("n").alias("m"), F.col("component").alias("other"))
+    pairs = own.join(o, ["token", "band"]).where(F.col("component") < F.col("other"))
+    return _enough(pairs.select(F.col("class").alias("hub"), "member", "n", "m"))
+
+
+def crowd_tries(marked: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(hub, salt, class) of the classes that share a token of many. All tokens of one hub make one crowd. Its classes
+    outside its largest component are compared with all of it, in tries of one block of the former and one of the
+    latter, so that a class is sent once for each block it is compared with and not for each class."""
+    members = written(with_hubs(marked.join(tokens, "token")).select(F.col("h.class").alias("hub"), "class", "component").distinct(), "crowds")
+    each = members.groupBy("hub", "component").agg(F.count("*").alias("k"))
+    of_hub = each.groupBy("hub").agg(F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("top")).select("hub", "all", F.col("top.component").alias("largest"), (F.col("all") - F.col("top.k")).alias("others"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / TRIE_SETS)).cast("long")
+    m = members.join(of_hub, "hub").withColumns({"rows": blocks("others"), "columns": blocks("all")})
+    salt = lambda r, c: -(1 + r * F.lit(1 << 31) + c)
+    own_row, own_column = F.pmod(F.xxhash64("class", F.lit(1)), F.col("rows")), F.pmod(F.xxhash64("class", F.lit(2)), F.col("columns"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    as_other = m.where("component != largest").select("hub", "class", own_row.alias("r"), every("columns").alias("c"))
+    as_any = m.select("hub", "class", every("rows").alias("r"), own_column.alias("c"))
+    return as_other.union(as_any).select("hub", salt(F.col("r"), F.col("c")).alias("salt"), "class").distinct()
+
+
 def ngram_components(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, n_shingles, class and component_id (the smallest doc_id that links reach) of every document."""
     spark = docs.sparkSession
@@ -372,25 +405,17 @@ def ngram_components(docs: DataFrame, n: int = N) -> DataFrame:
     shared = written(dealt.groupBy("part").applyInArrow(_shared, "token long, class long, n long"), "shared")
     reps = classes.select("class", "rep")
 
-    rows = shared.count()
-    labels, links = spark.createDataFrame([], "class long, component long"), spark.createDataFrame([], "a long, b long")
-    for deal in range(DEALS):
-        marked, open_ = open_tokens(shared, labels)
-        if (open_.agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0) <= PAIRS * rows:
-            break  # comparing all that is open is no more work than another round
-        candidates = hub_pairs(marked.join(open_.select("token"), "token"), deal)
-        links = links.union(written(linked(candidates, docs, reps, labels, n, deal), "links"))
-        labels = component_labels(links)
-        released(spark)
-
+    labels = spark.createDataFrame([], "class long, component long")
+    links = written(linked(dealt_to_tries(hub_pairs(shared)), docs, reps, labels, n), "links")
+    labels = component_labels(links)
+    released(spark)
     marked, open_ = open_tokens(shared, labels)
-    open_ = marked.join(open_.select("token"), "token").withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int"))
-    o = open_.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("class").alias("member"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = open_.join(o, ["token", "band"]).where(F.col("component") < F.col("other"))
-    rest = written(_enough(pairs.select(F.col("class").alias("hub"), "member", "n", "m")), "rest")
-    if not rest.isEmpty():
-        links = links.union(written(linked(rest, docs, reps, labels, n), "links"))
-        labels = component_labels(links)
+    tries = dealt_to_tries(written(open_pairs(marked, open_.where(F.col("m") <= CROWD).select("token")), "rest"))
+    crowded = open_.where(F.col("m") > CROWD).select("token")
+    if not crowded.isEmpty():
+        tries = tries.union(crowd_tries(marked, crowded))
+    links = links.union(written(linked(tries, docs, reps, labels, n), "links"))
+    labels = component_labels(links)
     released(spark, shared)
 
     named = classes.join(labels, "class", "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
