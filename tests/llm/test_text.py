@@ -107,51 +107,79 @@ def test_classifier(spark, sf_dir):
     assert quality.train(docs, labels.where("quality = 1")).weights is None and quality.train(docs, labels.where("false")).weights is None
 
 
-def katz_by_hand(rows):
+def katz_by_hand(rows, order):
+    """Scores of every text by recursion over dictionaries, and checks that probabilities of all words sum to one."""
     tokens = [[*words(lower(t)), None] for _, t, _ in rows]
     train = [zlib.crc32(str(i).encode()) % 5 != 1 for i, _, _ in rows]
-    one, two = Counter(), Counter()
+    counts = [Counter() for _ in range(order + 1)]  # by order; keys (context, word)
     for x, use in zip(tokens, train, strict=True):
+        y = ["<s>", *x]
         if use:
-            one.update(x)
-            two.update(zip(["<s>", *x], x, strict=False))
-    factor = lambda c: katz.Discounts.of([sum(v == r for v in c.values()) for r in range(7)]).factor
-    f1, f2, n = factor(one), factor(two), sum(one.values())
-    p1 = {w: f1[min(c, 6)] * c / n for w, c in one.items()}
+            for k, w in enumerate(x):
+                counts[1][(), w] += 1
+                for n in range(2, order + 1):
+                    if k + 2 - n >= 0:
+                        counts[n][tuple(y[k + 2 - n : k + 1]), w] += 1
+    factor = [None] + [katz.Discounts.of([sum(v == r for v in c.values()) for r in range(7)]).factor for c in counts[1:]]
+    one = {w: c for (_, w), c in counts[1].items()}
+    n_tokens = sum(one.values())
+    p1 = {w: factor[1][min(c, 6)] * c / n_tokens for w, c in one.items()}
     unknown = 1 - sum(p1.values())
-    contexts = {}
-    for (v, w), c in two.items():
-        contexts.setdefault(v, {})[w] = c
+    seen = [None, None] + [{} for _ in range(2, order + 1)]
+    for n in range(2, order + 1):
+        for (v, w), c in counts[n].items():
+            seen[n].setdefault(v, {})[w] = c
+    weights = {}
+
+    def weight(v):
+        if v not in weights:
+            own, f = seen[len(v) + 1][v], factor[len(v) + 1]
+            size, rest = sum(own.values()), sum((1 - f[min(c, 6)]) * c for c in own.values())
+            size, rest = (size, rest) if rest > 1e-12 else (size + 1, 1)
+            weights[v] = size, rest / size / (1 - sum(p(v[1:], x) for x in own))
+        return weights[v]
 
     def p(v, w):
-        if v not in contexts:
+        if not v:
             return p1.get(w, unknown)
-        seen = contexts[v]
-        size = sum(seen.values())
-        rest = size - sum(f2[min(c, 6)] * c for c in seen.values())
-        if rest <= 1e-12:
-            size, rest = size + 1, 1
-        return f2[min(seen[w], 6)] * seen[w] / size if w in seen else rest / size / (1 - sum(p1[x] for x in seen)) * p1.get(w, unknown)
+        own = seen[len(v) + 1].get(v)
+        if own is None:
+            return p(v[1:], w)
+        size, rest = weight(v)
+        return factor[len(v) + 1][min(own[w], 6)] * own[w] / size if w in own else rest * p(v[1:], w)
 
     vocabulary = [*one, "<an unknown word>"]
-    for v in list(contexts)[:20]:
-        assert sum(p(v, w) for w in vocabulary) == pytest.approx(1)
+    for n in range(2, order + 1):
+        for v in list(seen[n])[:20]:
+            assert sum(p(v, w) for w in vocabulary) == pytest.approx(1)
     out = []
     for (i, _, _), x, use in zip(rows, tokens, train, strict=True):
-        base = sum(math.log10((one[w] + 0.5) / (n + 0.5 * (len(one) + 1))) for w in x)
-        out.append((i, not use, len(x), sum(w in one for w in x), n, base, sum(math.log10(p(v, w)) for v, w in zip(["<s>", *x], x, strict=False))))
+        y = ["<s>", *x]
+        base = sum(math.log10((one.get(w, 0) + 0.5) / (n_tokens + 0.5 * (len(one) + 1))) for w in x)
+        out.append((i, not use, len(x), sum(w in one for w in x), n_tokens, base, sum(math.log10(p(tuple(y[max(0, k + 2 - order) : k + 1]), w)) for k, w in enumerate(x))))
     return out
 
 
-def test_katz(spark, odd, odd_rows, empty, monkeypatch):
-    want = sorted(katz_by_hand(odd_rows))
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz(spark, odd, odd_rows, empty, monkeypatch, order):
+    more = [(600 + k, "a b c d " * k + "e f a b " * (k % 4), "a") for k in range(1, 12)]  # contexts of many counts
+    want = sorted(katz_by_hand(odd_rows + more, order))
+    docs = odd.union(table(odd.sparkSession, more))
     for block in (katz.BLOCK_TOKENS, 500):
         monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
-        got = sorted(map(tuple, katz.score(odd.repartition(3)).collect()))
+        got = sorted(map(tuple, katz.score(docs.repartition(3), order).collect()))
         assert [g[:5] for g in got] == [w[:5] for w in want]
         assert [g[5:] for g in got] == [pytest.approx(w[5:], rel=1e-9) for w in want]
-    assert katz.score(empty).count() == 0
-    assert katz.score(odd.where("doc_id is null")).count() == 0
+    if order == katz.ORDER:
+        assert katz.score(empty).count() == 0
+        assert katz.score(odd.where("doc_id is null")).count() == 0
+
+
+def test_katz_without_training(spark):
+    """Of documents that all are held out every token has probability 1."""
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 1][:5]
+    got = katz.score(table(spark, [(k, "a b c a b", "a") for k in held])).collect()
+    assert all(r.score == 0 and r.train_tokens == 0 and r.n_known == 0 for r in got) and len(got) == 5
 
 
 def shingles(text):
