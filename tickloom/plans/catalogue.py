@@ -13,9 +13,9 @@ from pyspark.sql.window import Window
 
 from ..functions import aggregates as A
 from ..functions import scalars as S
-from ..operators import clean, cross, folds, market, metrics, order, runs, sequences, transaction
+from ..operators import browse, clean, cross, folds, market, metrics, order, runs, sequences, transaction
 from ..operators import windows as W
-from ..sources import adapters
+from ..sources import adapters, store
 from . import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -638,3 +638,35 @@ _TEN = "case when vol > 0 then greatest(least({}, 10), -10) end"
     from every left join g using (sample_id, bin)""")
 def txn_grid_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sequences.grid(_txn(spark, sf_dir)), 5)
+
+
+# --- looking and dealing out -----------------------------------------------------------------------
+
+
+@query("select c_custkey, c_name from customer order by c_name, c_custkey limit 25 offset 40")
+def page_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(browse.page(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name"), ["c_name", "c_custkey"], 40, 25))
+
+
+@query("select 's_suppkey' as name, 'bigint' as type, count(s_suppkey) as filled, min(s_suppkey)::double as low, max(s_suppkey)::double as high, round(avg(s_suppkey), 6) as mean from supplier union all select 's_name', 'string', count(s_name), null, null, null from supplier union all select 's_acctbal', 'double', count(s_acctbal), min(s_acctbal), max(s_acctbal), round(avg(s_acctbal), 6) from supplier")
+def described_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(browse.describe(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_acctbal")))
+
+
+@query("select o_orderkey as sample_id, case when substr(md5('7:' || o_orderkey), 1, 8) < 'cccccccc' then 'train' else 'valid' end as part from orders")
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("sample_id"))
+    return browse.split(rows, 7)
+
+
+@query("with s as (select o_orderkey as sample_id, o_orderkey // 25000 as shard from orders), p as (select *, row_number() over (partition by shard order by substr(md5('3:' || sample_id), 1, 8), sample_id) - 1 as place from s) select sample_id, shard, place, place // 64 as batch from p")
+def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 64 samples in a random order within each shard."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("sample_id"), store.shard_of(F.col("o_orderkey")).alias("shard"))
+    return rounded(browse.shuffled(rows, 3, 64))
+
+
+@query("select l_suppkey as sample_id, count(*) as n, min(l_quantity) as least from lineitem where l_suppkey = 3 group by 1")
+def rows_of_one_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("sample_id"), F.col("l_orderkey").alias("row_seq"), "l_quantity")
+    return rounded(browse.one_sample(rows, 3).groupBy("sample_id").agg(F.count("*").alias("n"), F.min("l_quantity").alias("least")))
