@@ -5,7 +5,8 @@ leftmost first; the count is the initial symbols less the merges made. Counts of
 and line breaks are remembered per worker in a table of bounded size.
 
 Defined results: a null or empty text has no tokens. Special strings inside a text count as one token
-each, as the library does by default. Extra columns are ignored; repeated rows are counted each.
+each, as the library does by default. A text of any length is counted whole. Extra columns are ignored,
+whatever their names; repeated rows are counted each; a null doc_id stays one. An empty table has an empty result.
 """
 
 from __future__ import annotations

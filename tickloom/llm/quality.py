@@ -6,7 +6,9 @@ Platt scaling on rows it did not see, and scored in Arrow batches against a fixe
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept. With no
 labelled row, or labels of one class only, the classifier keeps everything. A document whose labels
-disagree is not used for training. Extra columns are ignored.
+disagree is not used for training; of rows that share a doc_id one is. Repeated rows are judged each. A text
+of any length is read whole. A probability at the threshold keeps its document. An empty table has an empty
+result. Extra columns are ignored or, in ``filter_documents``, carried along whatever their names.
 """
 
 from __future__ import annotations
