@@ -110,6 +110,26 @@ def test_runs(built, spark, capsys):
     assert len(lines) == 143 and lines[0] == "sample_id,prediction" and [x.split(",")[0] for x in lines[1:]] == [str(k) for k in range(142)]
 
 
+def test_queue_of_rounds(built, capsys):
+    root, at, tables = built
+    rounds = [{"name": n, "exclude": ["market__*", "order__*", "cross__*", "transaction__w[1236]*", *more], "settings": {"seeds": [1], "feature_clip": None}} for n, more in (("all", []), ("fewer", ["*price*"]))]
+    queue = root / "queue.json"
+    queue.write_text(json.dumps(rounds[:1]))
+    cli.main([*at, "research-20", "--queue", str(queue)])
+    first = json.loads(capsys.readouterr().out)
+    assert first["name"] == "all" and first["score"] == pytest.approx(first["report"]["global_score"])
+    before = tables.manifest("runs", "round-all")
+    cli.main([*at, "research-20", "--queue", str(queue)])  # nothing is pending
+    assert tables.manifest("runs", "round-all") == before
+    queue.write_text(json.dumps(rounds))
+    with pytest.raises(ValueError, match="another queue"):
+        cli.main([*at, "research-20", "--queue", str(queue)])
+    for bad in ([], rounds[:1] * 2, [{"name": "x", "depth": 3}], [{"name": "x", "settings": {"trees": 5}}]):
+        queue.write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            cli.main([*at, "research-20", "--queue", str(queue)])
+
+
 def test_sequences_and_views(built, capsys):
     root, at, tables = built
     cli.main([*at, "build-sequences", "--split", "train", "--resume"])

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import browse, clean, cross, folds, market, metrics, order, runs, sequences, training, transaction
+from .operators import browse, clean, cross, folds, market, metrics, order, rounds, runs, sequences, training, transaction
 from .operators import windows as W
 from .sources import store
 
@@ -45,6 +45,8 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--settings", type=json.loads, default={}, help="a JSON object of what a plan of training names")
     t = commands.add_parser("predict-test")
     t.add_argument("--run-id", required=True)
+    q = commands.add_parser("research-20")
+    q.add_argument("--queue", required=True, help="a JSON list of rounds: name, reason, sets, exclude, settings")
     e = commands.add_parser("evaluate-oof")
     e.add_argument("--run-id", required=True)
     for name in ("ensemble", "blend"):
@@ -142,7 +144,7 @@ def _matrix(tables: store.Tables, split: str, sets: list[str], exclude: list[str
 
 
 def train(catalog: store.Catalog, tables: store.Tables, run: str, sets: list[str], exclude: list[str], settings: dict) -> dict:
-    plan = training.Plan.of({k: tuple(v) if isinstance(v, list) else v for k, v in settings.items()})
+    plan = rounds.plan_of(settings)
     rows = _matrix(tables, "train", sets, exclude)
     features = [c for c in rows.columns if c != "sample_id"]
     labels = tables.load("cache", "train", "label").select("sample_id", "month", "target")
@@ -152,10 +154,23 @@ def train(catalog: store.Catalog, tables: store.Tables, run: str, sets: list[str
     return tables.build(oof, "runs", run, resume=False, sets=sets, exclude=exclude, settings=settings, **found)
 
 
+def research(catalog: store.Catalog, tables: store.Tables, queue: str) -> dict | None:
+    """Trains and scores the rounds of a queue that its ledger lacks; the best of all. A round's run is kept as ``round-<name>``."""
+    folder, name = store.place_of(catalog.spark, queue)
+    ledger = rounds.Ledger(store.Folder(catalog.spark, tables.folder.at("research")), rounds.queue_of(json.loads(folder.text(name))), store.identity)
+
+    def one(r: rounds.Round) -> dict:
+        found = train(catalog, tables, f"round-{r.name}", list(r.sets), list(r.exclude), r.settings)
+        report = metrics.required(metrics.cosine_report(tables.load("runs", f"round-{r.name}"))).first().asDict()
+        return {"score": report["global_score"], "report": report, "rounds": found["rounds"]}
+
+    return rounds.run(ledger, one)
+
+
 def predict(tables: store.Tables, run: str) -> None:
     """Fits the run's plan on all months, for the median of its best rounds, and keeps predictions and importances."""
     m = tables.manifest("runs", run)
-    plan = training.Plan.of({k: tuple(v) if isinstance(v, list) else v for k, v in m["settings"].items()})
+    plan = rounds.plan_of(m["settings"])
     rows, test = (_matrix(tables, split, m["sets"], m["exclude"]) for split in store.SPLITS)
     features = [c for c in rows.columns if c != "sample_id"]
     if rows.columns != test.columns:
@@ -210,6 +225,8 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(train(catalog, tables, a.run_id, a.sets, a.exclude, a.settings)["best"]))
     elif a.command == "predict-test":
         predict(tables, a.run_id)
+    elif a.command == "research-20":
+        print(json.dumps(research(catalog, tables, a.queue)))
     elif a.command == "evaluate-oof":
         found = metrics.required(metrics.cosine_report(run(a.run_id))).first().asDict()
         tables.folder.put(json.dumps(found), "metrics", f"{a.run_id}.json")

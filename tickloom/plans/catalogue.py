@@ -160,8 +160,11 @@ def market_trade_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     # Places in a table sorted by sample: the rows of all samples before, and the place within the sample.
-    sizes = events.groupBy("user_id").agg(F.count("*").alias("n"))
-    before = sizes.select("user_id", F.coalesce(F.sum("n").over(Window.orderBy("user_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    sizes = events.groupBy("user_id").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("user_id") / 1024))
+    ranges = sizes.groupBy("range").agg(F.sum("n").alias("n"))  # a row for each 1024 samples is summed up in one task
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("range", ahead(Window.orderBy("range")).alias("first"))
+    before = sizes.withColumn("within", ahead(Window.partitionBy("range").orderBy("user_id"))).join(ranges, "range").select("user_id", (F.col("first") + F.col("within")).alias("first"))
     rows = events.join(before, "user_id").select(F.col("user_id").alias("sample_id"), (F.col("first") + F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("row_seq"))
     return rounded(clean.sample_spans(rows))
 

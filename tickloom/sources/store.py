@@ -220,7 +220,8 @@ def shard_of(sample_id):
     return F.floor(sample_id / SHARD_SAMPLES).cast("int")
 
 
-def _file(spark: SparkSession, path) -> tuple[Folder, str]:
+def place_of(spark: SparkSession, path) -> tuple[Folder, str]:
+    """The folder and the name of a file."""
     folder, _, name = str(path).rpartition("/")
     return Folder(spark, folder or "."), name
 
@@ -247,7 +248,7 @@ def write_submission(rows: DataFrame, path) -> None:
     one_of_each(rows)
     if not rows.agg(F.sum(F.col("prediction") * F.col("prediction"))).first()[0]:
         raise ValueError("all predictions are zero")
-    folder, name = _file(rows.sparkSession, path)
+    folder, name = place_of(rows.sparkSession, path)
     lines = rows.orderBy("sample_id").select(F.concat_ws(",", F.col("sample_id").cast("string"), F.col("prediction").cast("string")).alias("line"))
 
     def parts() -> Iterator[bytes]:
@@ -271,7 +272,7 @@ def npy_header(n: int) -> bytes:
 def write_vector(rows: DataFrame, path) -> None:
     """Predictions of samples 0 to n - 1 as a NumPy file, sample i at place i."""
     one_of_each(rows)
-    folder, name = _file(rows.sparkSession, path)
+    folder, name = place_of(rows.sparkSession, path)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
