@@ -312,10 +312,11 @@ def linked(tries: DataFrame, docs: DataFrame, reps: DataFrame, labels: DataFrame
     # A class of rows without a doc_id has a null rep, which like every null has one hash and so a bit of its own.
     wanted = written(both.select("class").distinct().join(reps, "class").select("class", "rep"), "wanted")
     bits = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("bit")).groupBy(F.expr("bit div 32768").alias("page")).agg(F.collect_set(F.expr("cast(bit % 32768 as int)")).alias("bits"))
-    filled = np.zeros(FILTER_BITS, bool)
+    filled = np.zeros(FILTER_BITS // 8, np.uint8)
     for row in bits.toLocalIterator():  # at most FILTER_BITS numbers, a page at a time
-        filled[row["page"] * 32768 + np.array(row["bits"])] = True
-    held = spark.sparkContext.broadcast(np.packbits(filled))
+        at = row["page"] * 32768 + np.array(row["bits"])
+        np.bitwise_or.at(filled, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+    held = spark.sparkContext.broadcast(filled)
 
     @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SPACE, U, VALUE_EXACT, Words, chunks, mixed, span_hashes, tidy, utf8, windows
+from .scratch import released
 
 #: Labelled rows that training reads at most, taken in the order of a hash of doc_id.
 MAX_TRAIN_ROWS = 3000
@@ -187,6 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, st
         hess = np.array([[(h * z * z).sum() + 1e-6, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]])
         move = np.linalg.solve(hess, [(d * z).sum(), d.sum()])
         slope, shift = max(1e-3, slope - np.clip(move[0], -1, 1)), shift - np.clip(move[1], -1, 1)
+    del sample
+    released(docs.sparkSession)
     return Model(weights, bias, slope, shift)
 
 

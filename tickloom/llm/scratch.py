@@ -7,11 +7,14 @@ where that setting is missing and the session runs in one process, as in tests.
 from __future__ import annotations
 
 import gc
+import itertools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .arrays import freed
+
 
 def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
@@ -29,6 +32,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that are written between two looks for what may go.
+BETWEEN = 6
+_made = itertools.count(1)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read from a Parquet table in the shared folder: lineage ends there."""
     spark = df.sparkSession
@@ -36,6 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_at = path
+    if next(_made) % BETWEEN == 0:
+        released(spark)
     return out
 
 
@@ -47,11 +57,13 @@ def pointed(df: DataFrame) -> DataFrame:
 
 
 def released(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables that ``written`` made and nothing reads any more. Shuffle files of finished steps go when
-    the driver's garbage is collected, which it is asked for here, since a driver with little garbage waits long."""
+    """Deletes tables that ``written`` made and nothing reads any more. Shuffle files and broadcasts of finished steps
+    go when the driver's garbage is collected, which it is asked for here, since a driver with little garbage waits
+    long; the driver's own memory shrinks as well."""
     jvm = spark.sparkContext._jvm
     for table in tables:
         path = jvm.org.apache.hadoop.fs.Path(table.scratch_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
+    freed()
     jvm.System.gc()
