@@ -209,6 +209,39 @@ def test_fingerprints(spark, odd, odd_rows, empty):
     assert fingerprint.fingerprints(empty).count() == 0 and fingerprint.fingerprints(odd.limit(1)).count() == 1
 
 
+def test_next_documents_of_far_ids(spark):
+    """Ids that span more than a long holds, dense ones beside them, a null one, and extra columns."""
+    ids = [-(1 << 62) - 5, *range(3000), (1 << 62) + 5, None]
+    docs = spark.createDataFrame([(i, f"text of document {i} alone", "x", 1) for i in ids], "doc_id long, text string, range string, own int")
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs.repartition(5)).collect()}
+    order = [None, *sorted(i for i in ids if i is not None)]
+    for k, i in enumerate(order):
+        text, after = (f"text of document {x} alone" for x in (i, order[k - 1]))
+        cut = len(text) // 3
+        assert got[i].edited_sha256 == hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()
+    ranges = [r["count"] for r in fingerprint.in_ranges(docs).groupBy("range").count().collect()]
+    assert max(ranges) <= 2 * fingerprint.RANGE_ROWS and len(ranges) >= 3
+
+
+def test_likeness_error(spark):
+    """Against the exact Jaccard of the same shingles, over all documents of a corpus; a sketch holds what its fraction says."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    ids, errors = sorted(text), []
+    for r in fingerprint.fingerprints(docs).collect():
+        t, after = text[r.doc_id], text[ids[ids.index(r.doc_id) - 1]]
+        k = len(t) // 3
+        a, b, c = map(shingles, (t, t[: len(t) - k] + after[:k], after))
+        jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        errors.append((len(a), abs(r.near_edited - jaccard(a, b)), abs(r.near_next - jaccard(a, c))))
+        kept = r.fingerprint.split()
+        assert kept == sorted(kept, key=lambda x: int(x, 16) - (int(x, 16) >> 63 << 64)) and (bool(kept) == bool(a))
+        if len(a) > 400:
+            assert 0.15 < len(kept) / len(a) < 0.35
+    e = np.array(errors)
+    assert e[:, 1].mean() < 0.06 and e[:, 2].mean() < 0.01 and e[e[:, 0] > 150, 1].mean() < 0.04 and np.percentile(e[:, 1], 95) < 0.17
+
+
 def test_sketches_merge(spark):
     from pyspark.sql import functions as F
 
