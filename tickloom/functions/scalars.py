@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,7 +69,3 @@ def dot(a: Column, b: Column) -> Column:
 def as_single(x: Column) -> Column:
     """Rounded through a 32-bit float, as features are between blocks."""
     return x.cast("float").cast("double")
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
