@@ -42,6 +42,11 @@ DIGIT_BITS, DIGITS = 10, 3
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def few(sources: DataFrame) -> DataFrame:
+    """A table of a row for each source, written by one task."""
+    return pointed(sources.coalesce(1))
+
+
 def size_of(text: Column | str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
@@ -84,7 +89,7 @@ def multipliers(histogram: DataFrame, aims: DataFrame) -> DataFrame:
     state = aims.withColumn("lo", lo).withColumn("hi", hi)
     whole = ratio >= MOST * (1 - EXACT / 10)  # every document at its cap
     start = F.when(~some | (ratio == 1), F.lit(0.0)).when(whole, F.col("hi")).otherwise(F.greatest("lo", F.least("hi", F.ln(ratio))))
-    state = pointed(state.withColumn("lam", start).withColumn("open", some & (ratio != 1) & ~whole))
+    state = few(state.withColumn("lam", start).withColumn("open", some & (ratio != 1) & ~whole))
     for _ in range(ROUNDS):
         if state.where("open").isEmpty():
             break
@@ -101,7 +106,7 @@ def multipliers(histogram: DataFrame, aims: DataFrame) -> DataFrame:
         newton = F.when(F.col("g") > 0, F.col("lam") - F.col("off") / F.col("g"))
         inside = F.when((newton > F.col("new_lo")) & (newton < F.col("new_hi")), newton).otherwise((F.col("new_lo") + F.col("new_hi")) / 2)
         done = ~F.col("open") | (F.abs("off") <= F.col("target") * EXACT) | (F.col("new_hi") - F.col("new_lo") <= F.abs("lam") * 1e-12)
-        state = pointed(s.select("source", "source_size", "mean", "least", "target", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), F.when(done, F.col("lam")).otherwise(inside).alias("lam"), (~done).alias("open")))
+        state = few(s.select("source", "source_size", "mean", "least", "target", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), F.when(done, F.col("lam")).otherwise(inside).alias("lam"), (~done).alias("open")))
     else:
         raise ArithmeticError("the multipliers of some source have not converged")
     return state.select("source", "source_size", "mean", "target", "lam")
@@ -121,7 +126,7 @@ def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
     rows = rows.where("size > 0").withColumn("key", _sorter(F.col("doc_id"), F.col("rate") - floor)).withColumn("whole", floor)
     sums = rows.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("given"))
     state = beside(sources, sums, "left").select("source", "target", (F.col("target") - F.coalesce("given", F.lit(0))).alias("need"), F.lit(0).cast("long").alias("prefix"))
-    state = pointed(state)
+    state = few(state)
     rows = rows.where(F.col("whole") < MOST).select("source", "key", "size")
     for digit in range(DIGITS):
         low = (DIGITS - 1 - digit) * DIGIT_BITS
@@ -139,29 +144,29 @@ def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
             state = joined.select("source", F.coalesce("reach", nothing).alias("least_key"))
         else:
             none = (F.col("prefix") + 1) * (1 << DIGIT_BITS) - 1
-            state = pointed(joined.select("source", "target", (F.col("need") - F.coalesce("before", F.lit(0))).alias("need"), F.coalesce("reach", none).alias("prefix")))
-    return pointed(beside(sources, state, "left").select("source", "source_size", "mean", "target", "lam", "least_key"))
+            state = few(joined.select("source", "target", (F.col("need") - F.coalesce("before", F.lit(0))).alias("need"), F.coalesce("reach", none).alias("prefix")))
+    return few(beside(sources, state, "left").select("source", "source_size", "mean", "target", "lam", "least_key"))
 
 
 def flipped(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Sources with ``plus`` and ``minus``: single documents that get a copy more or less, as their size is what
     their source still lacks or has too much."""
     none = F.array().cast("array<bigint>")
-    sources = pointed(sources.withColumn("plus", none).withColumn("minus", none))
+    sources = few(sources.withColumn("plus", none).withColumn("minus", none))
     while True:  # each round brings a source nearer, by the document that brings it nearest
         rows = beside(sized, sources).withColumn("c", copies(F.col("doc_id"), F.col("size")))
-        lack = pointed(rows.groupBy("source", "target").agg(F.sum(F.col("c") * F.col("size")).alias("taken")).select("source", "target", (F.col("target") - F.col("taken")).alias("lack")))
+        lack = few(rows.groupBy("source", "target").agg(F.sum(F.col("c") * F.col("size")).alias("taken")).select("source", "target", (F.col("target") - F.col("taken")).alias("lack")))
         rows = beside(rows, lack.where(F.abs("lack") > F.col("target") * NEAR)).where(~F.array_contains("plus", F.col("doc_id")) & ~F.array_contains("minus", F.col("doc_id")))
         can = F.col("doc_id").isNotNull() & ((F.col("lack") > 0) & (F.col("c") < MOST) | (F.col("lack") < 0) & (F.col("c") > 0))
         off = F.abs(F.abs("lack") - F.col("size"))
         best = rows.where(can & (off < F.abs("lack"))).groupBy("source", "lack").agg(F.min(F.struct(off.alias("off"), F.xxhash64("doc_id").alias("r"), "doc_id")).alias("b"))
-        best = pointed(best)
+        best = few(best)
         if best.isEmpty():
             return sources
         s = beside(sources, best.select("source", "lack", F.col("b.doc_id").alias("doc")), "left")
         one = F.array("doc")
         s = s.withColumn("plus", F.when(F.col("lack") > 0, F.concat("plus", one)).otherwise(F.col("plus"))).withColumn("minus", F.when(F.col("lack") < 0, F.concat("minus", one)).otherwise(F.col("minus")))
-        sources = pointed(s.select(*sources.columns))
+        sources = few(s.select(*sources.columns))
 
 
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
