@@ -107,7 +107,7 @@ def test_classifier(spark, sf_dir):
     assert quality.train(docs, labels.where("quality = 1")).weights is None and quality.train(docs, labels.where("false")).weights is None
 
 
-def katz_by_hand(rows, order):
+def katz_by_hand(rows, order, least_context):
     """Scores of every text by recursion over dictionaries, and checks that probabilities of all words sum to one."""
     tokens = [[*words(lower(t)), None] for _, t, _ in rows]
     train = [zlib.crc32(str(i).encode()) % 5 != 1 for i, _, _ in rows]
@@ -120,6 +120,8 @@ def katz_by_hand(rows, order):
                 for n in range(2, order + 1):
                     if k + 2 - n >= 0:
                         counts[n][tuple(y[k + 2 - n : k + 1]), w] += 1
+    for n in range(3, order + 1):  # contexts below the cutoff have no n-grams
+        counts[n] = Counter({(v, w): c for (v, w), c in counts[n].items() if counts[n - 1][v[:-1], v[-1]] >= least_context})
     factor = [None] + [katz.Discounts.of([sum(v == r for v in c.values()) for r in range(7)]).factor for c in counts[1:]]
     one = {w: c for (_, w), c in counts[1].items()}
     n_tokens = sum(one.values())
@@ -160,17 +162,17 @@ def katz_by_hand(rows, order):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_katz(spark, odd, odd_rows, empty, monkeypatch, order):
+@pytest.mark.parametrize(("order", "least_context"), [(1, 1), (2, 2), (3, 1), (3, 2), (4, 2)])
+def test_katz(spark, odd, odd_rows, empty, monkeypatch, order, least_context):
     more = [(600 + k, "a b c d " * k + "e f a b " * (k % 4), "a") for k in range(1, 12)]  # contexts of many counts
-    want = sorted(katz_by_hand(odd_rows + more, order))
+    want = sorted(katz_by_hand(odd_rows + more, order, least_context))
     docs = odd.union(table(odd.sparkSession, more))
     for block in (katz.BLOCK_TOKENS, 500):
         monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
-        got = sorted(map(tuple, katz.score(docs.repartition(3), order).collect()))
+        got = sorted(map(tuple, katz.score(docs.repartition(3), order, least_context).collect()))
         assert [g[:5] for g in got] == [w[:5] for w in want]
         assert [g[5:] for g in got] == [pytest.approx(w[5:], rel=1e-9) for w in want]
-    if order == katz.ORDER:
+    if (order, least_context) == (katz.ORDER, katz.LEAST_CONTEXT):
         assert katz.score(empty).count() == 0
         assert katz.score(odd.where("doc_id is null")).count() == 0
 
