@@ -1,6 +1,7 @@
 """Near copies, lines, mixing, licences and archives against plain Python."""
 
 import hashlib
+import itertools
 import math
 import random
 from collections import Counter
@@ -204,6 +205,28 @@ def test_lines_of_a_crowded_key(spark):
     assert got == want and sum(not t for t in want.values()) == pairs
 
 
+def test_lines_without_a_rare_key(spark):
+    """Every run of words is in more lines than are compared at once; some lines have a copy with another word."""
+    part = [[prose(5000 + 20 * p + v, 8) for v in range(9)] for p in range(4)]
+    between = [prose(5900 + p, 5) for p in range(3)]
+    rows, copies = [], 0
+    for i, j, k in itertools.product(range(9), repeat=3):
+        parts = [part[p][v] for p, v in enumerate((i, j, k, (i + j + k) % 9))]
+        line = " ".join(x for pair in itertools.zip_longest(parts, between, fillvalue="") for x in pair).strip()
+        n = len(rows)
+        rows.append((n, line, "a"))
+        if n % 18 == 0:
+            w = line.split(" ")
+            rows.append((10_000 + n, " ".join([*w[:20], "hhh", *w[21:]]), "a"))
+            copies += 1
+    assert all(not alike(rows[0][1], x) for _, x, _ in rows[2:])
+    short = [(20_000 + k, f"{prose(7000 + k, 2)} same words here again now {prose(7500 + k, 3)}", "a") for k in range(100)]
+    short += [(30_000 + k, x + "s", "a") for k, (_, x, _) in enumerate(short[::9])]
+    left = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(spark, rows + short)).collect()}
+    assert {i for i, x in left.items() if not x} == {i for i, _, _ in rows + short if 10_000 <= i < 20_000 or i >= 30_000}
+    assert copies >= 40
+
+
 def test_line_recall(spark, sf_dir):
     """Of all pairs of lines that share a pair of words that is not very common and are alike, nine in ten are in one
     group; lines in one group are joined by pairs that are alike."""
