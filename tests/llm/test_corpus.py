@@ -385,6 +385,21 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(table_).count() == len(rows) and license_scan.scan(table_.where("false")).count() == 0
 
 
+def test_licenses_that_most_files_have(spark):
+    """Notices of one licence in nine files of ten, whose words are common that way; as a block, as a line, and as a whole
+    file of lines that hold little each."""
+    notice = "\n".join("# " + x for x in license_scan.APACHE.replace("; ", ";\n").replace("License. ", "License.\n").split("\n"))
+    rows = [(k, f"a/{k}/x", f"{notice}\n\n\n{prose(k, 60)}") for k in range(150)]
+    rows += [(200 + k, f"b/{k}/x", f"{prose(300 + k, 20)}\n// Licensed under the Apache License, Version 2.0\n{prose(500 + k, 20)}") for k in range(40)]
+    words_ = license_scan.APACHE.split(" ")
+    rows += [(300 + k, f"c/{k}/x", "\n".join(" ".join(words_[i : i + 3]) for i in range(0, len(words_), 3))) for k in range(5)]
+    rows += [(400 + k, f"d/{k}/x", f"the use of the work in {prose(600 + k, 30)}") for k in range(20)]
+    got = {r.doc_id: (r.license, r.origin) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    # Short texts after a notice leave the whole near enough to be a licence file.
+    assert {got[i][0] for i in got if i < 400} == {"Apache-2.0"}
+    assert {got[i] for i in got if i >= 400} == {(None, "none")}
+
+
 def test_archives(spark, sf_dir):
     schema = "page_id long, url string, html string, key string, at long"
     rows = [(1, "http://a.b/\\x\ty", "x" * 2000), (2, None, "x" * 2000), (2, None, "x" * 2000), (None, "http://É.b", None), (-5, "nourl", "é" * 600), (7, "http://u@a.b:80/q#f", "é" * 600), (8, "http://a.b/", "short"), (9, "http://a.b/", "short"), (10, "http://a.b/", "\r\n\r\n" * 400)]

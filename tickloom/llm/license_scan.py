@@ -3,9 +3,13 @@
 Templates are texts of licences, the notices that files carry for them, titles and SPDX identifiers. A term's
 document frequency is counted over all files; its weight in a text is its count there times
 ln((files + 1) / (frequency + 1)) + 1. Telling terms are terms of templates that at most a tenth of all files
-(and 50 more) hold. A line with two of them or more is a licence line. Compared with every template are: each licence line;
-each block of licence lines, between two of which one other line may lie; and the whole of each file with
-licence lines, which is how licence files of many lines are found.
+(and 50 more) hold, lines aside three quarters of whose words are words of templates: notices in every file do
+not make their own words common. A line with two of them or more is a licence line. Compared with every template are:
+each licence line; each block of licence lines, between two of which one other line may lie; and the whole of each file
+with licence lines, which is how licence files of many lines are found. So are, however common their words, every
+line with two words of templates and every file with such a line, unless the words that it has have less than
+0.36 of the squared weights of every template: then no cosine can reach 0.6. So telling terms only tell where
+blocks end.
 
 A cosine of at least 0.6 names a licence. A file whose whole text reaches that is a licence file, and speaks
 for its directory; its own licence is that of the whole. Other files' own licence is that of their best
@@ -22,7 +26,7 @@ whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,6 +37,10 @@ from .scratch import pointed, released, written
 LEAST_COSINE = 0.6
 #: The part of all files, and the number besides, that may hold a telling term, and how many a licence line has at least.
 TELLING, TELLING_FILES, LEAST_TERMS = 0.1, 50, 2
+#: The part of a template's squared weights without which no cosine reaches the least, rounding left aside.
+COVERED = LEAST_COSINE**2 * (1 - 1e-6)
+#: The part of a line's words that are template words from which on it does not count as a use of them.
+MOSTLY = 0.75
 #: Other lines that may lie between two lines of a block.
 GAP = 1
 
@@ -85,28 +93,72 @@ def frequencies(files: DataFrame) -> DataFrame:
     return files.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def telling_terms(models: DataFrame, df: DataFrame, n: int) -> DataFrame:
-    """Terms of templates that few files hold, bounded by the templates' vocabulary."""
-    terms = models.select(F.explode("words").alias("term")).distinct()
-    return pointed(terms.join(df, "term", "left").where(F.coalesce("df", F.lit(0)) <= n * TELLING + TELLING_FILES).select("term"))
-
-
-def units(files: DataFrame, telling: DataFrame) -> DataFrame:
-    """(doc_id, path, scope, words; 0 whole files, 1 blocks, 2 lines) of all licence lines, blocks of them, and files that hold some."""
-    files = files.where("text is not null").withColumn("version", F.xxhash64("text"))
-    words = files.select("doc_id", "path", "version", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
-    words = words.select("doc_id", "path", "version", "place", F.explode(F.array_distinct(words_of(F.col("raw")))).alias("term")).join(F.broadcast(telling), "term")  # the templates' vocabulary bounds this side
-    places = words.groupBy("doc_id", "path", "version", "place").agg(F.count_distinct("term").alias("terms")).where(F.col("terms") >= LEAST_TERMS).select("doc_id", "path", "version", "place")
-    in_file = Window.partitionBy("doc_id", "path", "version").orderBy("place")  # licence lines of one file
-    starts = pointed(places).withColumn("new", (F.col("place") - F.lag("place").over(in_file) > GAP + 1).cast("int"))
-    at = starts.withColumn("block", F.coalesce(F.sum("new").over(in_file), F.lit(0)))
-    at = at.groupBy("doc_id", "path", "version").agg(F.collect_list(F.struct("place", "block")).alias("at")).withColumnsRenamed({"doc_id": "of", "path": "of_path", "version": "of_version"})
-    held = attached(files, pointed(at), F.col("doc_id").eqNullSafe(F.col("of")) & F.col("path").eqNullSafe(F.col("of_path")) & (F.col("version") == F.col("of_version")))
+def identified(files: DataFrame) -> DataFrame:
+    """Files with a text, told apart by a hash of doc_id, path and text."""
+    return files.where("text is not null").withColumn("file", F.xxhash64("doc_id", "path", "text", F.col("doc_id").isNull(), F.col("path").isNull()))
+
+
+def line_terms(files: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(file, place, n, terms) of every line with a word of a template: those, of n different words."""
+    lines = identified(files).select("file", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
+    made = F.transform(F.array(F.array_distinct(words_of(F.col("raw")))), lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: x.isin(vocabulary)).alias("terms")))
+    return written(lines.select("file", "place", F.inline(made)).where(F.size("terms") > 0), "lines")
+
+
+def telling_terms(models: DataFrame, df: DataFrame, n: int, lines: DataFrame) -> list[str]:
+    """Terms of templates that few files hold in lines that are not mostly words of templates: a notice does not make
+    its own words common. Bounded by the templates' vocabulary."""
+    few = n * TELLING + TELLING_FILES
+    terms = models.select(F.explode("words").alias("term")).distinct().join(df, "term", "left").select("term", (F.coalesce("df", F.lit(0)) > few).alias("common")).collect()
+    common = [r.term for r in terms if r.common]
+    plain = lines.where(F.size("terms") < F.col("n") * MOSTLY).select("file", F.explode(F.filter("terms", lambda x: x.isin(common))).alias("term")) if common else None
+    used = {r.term for r in plain.distinct().groupBy("term").count().where(F.col("count") > few).collect()} if common else set()
+    return [r.term for r in terms if r.term not in used]
+
+
+def weight_shares(models: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """(template, term, share): a term's part of the squared weights of a template, the fixed texts' words."""
+    tf = models.select("template", F.explode("words").alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
+    v = F.col("tf") * (F.log(F.lit(float(n + 1)) / (F.coalesce("df", F.lit(0)) + 1)) + 1)
+    squares = tf.join(df, "term", "left").select("template", "term", (v * v).alias("square"))
+    return pointed(squares.withColumn("share", F.col("square") / F.sum("square").over(Window.partitionBy("template"))).select("template", "term", "share"))
+
+
+def may_cover(shares: DataFrame) -> Column:
+    """Whether the column terms can have COVERED of some template's squared weights, by the most that each term has."""
+    most = {r.term: r.most for r in shares.groupBy("term").agg(F.max("share").alias("most")).collect()}  # the templates' words
+    table = F.map_from_arrays(F.lit(list(most)), F.lit(list(most.values())))
+    return F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.coalesce(F.element_at(table, t), F.lit(0.0))) >= COVERED
+
+
+def covering(held: DataFrame, by: list[str], shares: DataFrame) -> DataFrame:
+    """Those (columns ``by``) of held (by, terms) whose terms have COVERED of a template's squared weights."""
+    each = held.select(*by, F.explode("terms").alias("term")).join(F.broadcast(shares), "term")  # the templates' words
+    return each.groupBy(*by, "template").agg(F.sum("share").alias("share")).where(F.col("share") >= COVERED).select(*by).distinct()
+
+
+def units(files: DataFrame, lines: DataFrame, telling: list[str], shares: DataFrame) -> DataFrame:
+    """(doc_id, path, scope, words; 0 whole files, 1 blocks, 2 lines) of all licence lines, blocks of them, and files that
+    hold some; and of all lines and files that can reach the least cosine, however common their words."""
+    may = may_cover(shares)
+    places = lines.where(F.size(F.filter("terms", lambda x: x.isin(telling))) >= LEAST_TERMS).select("file", "place")
+    in_file = Window.partitionBy("file").orderBy("place")  # licence lines of one file
+    starts = pointed(places).distinct().withColumn("new", (F.col("place") - F.lag("place").over(in_file) > GAP + 1).cast("int"))
+    at = starts.select("file", "place", F.coalesce(F.sum("new").over(in_file), F.lit(0)).alias("block"))
+    none = F.lit(None).cast("long").alias("block")
+    two = F.size("terms") >= LEAST_TERMS
+    alone = covering(lines.where(two & may), ["file", "place"], shares).select("file", "place", none)
+    # The groups by file are those by file and template, too.
+    of_file = lines.groupBy("file").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"), F.max(two).alias("two"))
+    whole = covering(of_file.where(F.col("two") & may), ["file"], shares).select("file", F.lit(None).cast("int").alias("place"), none)
+    at = at.unionByName(alone).groupBy("file", "place").agg(F.max("block").alias("block")).unionByName(whole)
+    at = at.groupBy("file").agg(F.collect_list(F.struct("place", "block")).alias("at"))
+    held = attached(identified(files), pointed(at), "file")
 
     def bodies(lines):
-        one = F.transform("at", lambda a: F.struct(F.lit(2).alias("scope"), F.get(lines, a["place"]).alias("body")))
-        of_block = lambda b: F.array_join(F.transform(F.filter("at", lambda a: a["block"] == b), lambda a: F.get(lines, a["place"])), "\n")
-        block = F.transform(F.array_distinct(F.transform("at", lambda a: a["block"])), lambda b: F.struct(F.lit(1).alias("scope"), of_block(b).alias("body")))
+        one = F.transform(F.filter("at", lambda a: a["place"].isNotNull()), lambda a: F.struct(F.lit(2).alias("scope"), F.get(lines, a["place"]).alias("body")))
+        of_block = lambda b: F.array_join(F.transform(F.array_sort(F.filter("at", lambda a: a["block"] == b)), lambda a: F.get(lines, a["place"])), "\n")
+        block = F.transform(F.array_distinct(F.filter(F.transform("at", lambda a: a["block"]), lambda b: b.isNotNull())), lambda b: F.struct(F.lit(1).alias("scope"), of_block(b).alias("body")))
         return F.concat(one, block, F.array(F.struct(F.lit(0).alias("scope"), F.col("text").alias("body"))))
 
     each = held.select("doc_id", "path", F.explode(let(F.split("text", "\n"), bodies)).alias("x"))
@@ -141,12 +193,13 @@ def scan(files: DataFrame) -> DataFrame:
     """doc_id, path, license, origin (header, file, inherited or none), cosine and directory of the licence file, of every file (doc_id, path, text)."""
     spark = files.sparkSession
     files = files.select("doc_id", "path", "text")
-    models = templates(spark)
+    models = pointed(templates(spark))
     n = files.count()
     df = written(frequencies(files), "frequencies")
-    found = units(files, telling_terms(models, df, n)).withColumn("unit", F.xxhash64(F.array_sort("words"), F.size("words")))
+    lines = line_terms(files, [r.term for r in models.select(F.explode("words").alias("term")).distinct().collect()])  # fixed texts bound these
+    found = units(files, lines, telling_terms(models, df, n, lines), weight_shares(models, df, n)).withColumn("unit", F.xxhash64(F.array_sort("words"), F.size("words")))
     found = written(found, "units")
-    released(spark)
+    released(spark, lines)
     best = best_templates(found, models, df, n)
     hits = attached(found.select("doc_id", "path", "scope", "unit"), best, "unit")
     own = hits.groupBy("doc_id", "path").agg(F.min(F.struct("scope", (-F.col("cosine")).alias("c"), "license")).alias("b"))
