@@ -173,13 +173,17 @@ def best_templates(found: DataFrame, models: DataFrame, df: DataFrame, n: int) -
     needed = tf.select("term").union(tf_models.select("term")).distinct()
     idf = F.log(F.lit(float(n + 1)) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     terms = pointed(needed.join(df, "term", "left").select("term", idf.alias("idf")))
-    weights = pointed(attached(tf, terms, "term").select("unit", "term", (F.col("tf") * F.col("idf")).alias("w")))
-    norms = weights.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    own = [r.term for r in tf_models.select("term").distinct().collect()]  # the words of the templates above
+    released(spark := found.sparkSession)
+    w = attached(tf, terms, "term").select("unit", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    shared = F.when(F.col("term").isin(own), F.struct("term", "w"))
+    weights = pointed(w.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(shared).alias("shared")))  # at most the templates' words
+    released(spark)
     of_models = tf_models.join(terms, "term").select("template", "license", "term", (F.col("tf") * F.col("idf")).alias("v"))
     lengths = of_models.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
     m = F.broadcast(pointed(of_models.join(lengths, "template")))  # the words of the templates above
-    dots = weights.join(m, "term").groupBy("unit", "license", "template", "length").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.join(norms, "unit").select("unit", "license", F.round(F.col("dot") / F.col("norm") / F.col("length"), 9).alias("cosine"))
+    dots = weights.select("unit", F.inline("shared")).join(m, "term").groupBy("unit", "license", "template", "length").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    scored = dots.join(weights.select("unit", "norm"), "unit").select("unit", "license", F.round(F.col("dot") / F.col("norm") / F.col("length"), 9).alias("cosine"))
     scored = scored.where(F.col("cosine") >= LEAST_COSINE)
     best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
     return pointed(best.select("unit", "b.license", (-F.col("b.c")).alias("cosine")))
