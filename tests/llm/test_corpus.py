@@ -11,6 +11,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tickloom.llm import components, license_scan, line_dedup, mixing, ngram_join, queries, warc
 
 from .conftest import lower, prose, table, words
@@ -227,6 +228,16 @@ def test_lines_without_a_rare_key(spark):
     assert copies >= 40
 
 
+def test_the_line_stage_leaves_no_crowd_out(spark):
+    """Lines of four parts, each of which very many lines have; the copies of some have another word."""
+    part = [[prose(6000 + 20 * p + v, 8) for v in range(9)] for p in range(4)]
+    lines = [" ".join(f"{part[p][v]} {prose(6900 + p, 5)}" for p, v in enumerate((i, j, k, (i + j + k) % 9))) for i, j, k in itertools.product(range(9), repeat=3)]
+    copies = [" ".join([*w[:20], "hhh", *w[21:]]) for w in (x.split(" ") for x in lines[::18])]
+    rows = [(k, x, "a") for k, x in enumerate(lines)] + [(10_000 + k, x, "a") for k, x in enumerate(copies)]
+    left = corpus_pipeline.without_repeated_lines(spark, table(spark, rows), "").collect()
+    assert {r.doc_id for r in left if not r.text} == {i for i, _, _ in rows if i >= 10_000}
+
+
 def test_line_recall(spark, sf_dir):
     """Of all pairs of lines that share a pair of words that is not very common and are alike, nine in ten are in one
     group; lines in one group are joined by pairs that are alike."""
