@@ -238,6 +238,33 @@ def test_the_line_stage_leaves_no_crowd_out(spark):
     assert {r.doc_id for r in left if not r.text} == {i for i, _, _ in rows if i >= 10_000}
 
 
+def test_crowds_write_only_what_may_be_alike(spark, monkeypatch):
+    """Short lines with the same words in them and long ones with the same passage, some with a near copy: of a crowd no
+    more pairs are written than there are lines, and all copies are found."""
+    passage, rows = prose(820, 18), []
+    for k in range(100):
+        w = prose(2400 + k, 30).split(" ")
+        rows.append((k, " ".join([*w[:10], passage, *w[10:]]), "a"))
+        rows.append((1000 + k, f"{prose(7700 + k, 2)} same words here again now {prose(7900 + k, 3)}", "a"))
+        if k % 9 == 0:
+            rows.append((10_000 + k, " ".join([*w[:6], "changed", *w[7:10], passage, *w[10:29]]), "a"))
+            rows.append((20_000 + k, rows[-2][1] + "s", "a"))
+    crowds, found = [], line_dedup.crowded_pairs
+
+    def spied(marked, labels, texts):
+        # No two lines are in one group yet, so that all pairs of the crowd are looked at.
+        apart = line_dedup.pointed(found(marked, labels.where("false"), texts))
+        crowds.append((marked.select("line").distinct().count(), {(r.a, r.b) for r in apart.collect()}, {r.line: r.norm for r in texts.collect()}))
+        return found(marked, labels, texts)
+
+    monkeypatch.setattr(line_dedup, "crowded_pairs", spied)
+    left = {r.doc_id for r in line_dedup.dedup_lines(table(spark, rows)).collect() if not r.text}
+    assert left == {i for i, _, _ in rows if i >= 10_000}
+    (lines, pairs, norm), = crowds
+    want = {(a, b) for a, b in itertools.combinations(sorted(norm), 2) if alike(norm[a], norm[b])}
+    assert lines >= 200 and len(want) == 24 and want <= pairs and len(pairs) <= lines
+
+
 def test_line_recall(spark, sf_dir):
     """Of all pairs of lines that share a pair of words that is not very common and are alike, nine in ten are in one
     group; lines in one group are joined by pairs that are alike."""
