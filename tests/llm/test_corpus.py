@@ -438,6 +438,31 @@ def test_licenses_that_most_files_have(spark):
     assert {got[i] for i in got if i >= 400} == {(None, "none")}
 
 
+def test_only_texts_that_may_reach_a_license_are_weighed(spark, monkeypatch):
+    """Long texts that hold a notice, and copies of them, have no words of theirs looked up, and every text near enough to a template has."""
+    notice = "# " + license_scan.APACHE
+    rows = [(k, f"a/{k % 7}/{k}", f"{notice}\n{prose(5000 + k // 2, 600)}") for k in range(40)]
+    rows += [(100 + k, f"b/{k}", f"{notice} {prose(6000 + k, 2 * k)}") for k in range(40)]
+    rows += [(200 + k, f"c/{k}", prose(7000 + k % 3, 50)) for k in range(20)]
+    weighed, best = [], license_scan.best_templates
+
+    def spied(found, *of):
+        weighed.append({r.unit for r in found.collect()})
+        return best(found, *of)
+
+    def everything(found, *of):
+        every.append({r.unit for r in found.collect()})
+        wanted.append({r.unit for r in best(found, *of).collect()})
+        return reaching(found, *of)
+
+    every, wanted, reaching = [], [], license_scan.reaching
+    monkeypatch.setattr(license_scan, "best_templates", spied)
+    monkeypatch.setattr(license_scan, "reaching", everything)
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert all(got[k] == "Apache-2.0" for k in [*range(40), 100])
+    assert wanted[0] <= weighed[0] and len(every[0]) - len(weighed[0]) >= 20 and len(wanted[0]) >= 2
+
+
 def test_archives(spark, sf_dir):
     schema = "page_id long, url string, html string, key string, at long"
     rows = [(1, "http://a.b/\\x\ty", "x" * 2000), (2, None, "x" * 2000), (2, None, "x" * 2000), (None, "http://É.b", None), (-5, "nourl", "é" * 600), (7, "http://u@a.b:80/q#f", "é" * 600), (8, "http://a.b/", "short"), (9, "http://a.b/", "short"), (10, "http://a.b/", "\r\n\r\n" * 400)]

@@ -9,7 +9,8 @@ each licence line; each block of licence lines, between two of which one other l
 with licence lines, which is how licence files of many lines are found. So are, however common their words, every
 line with two words of templates and every file with such a line, unless the words that it has have less than
 0.36 of the squared weights of every template: then no cosine can reach 0.6. So telling terms only tell where
-blocks end.
+blocks end. Nor are the weights of all words looked up for texts that cannot reach it even if their other words
+weigh the least that words of their kind may: 1 if common, and what the rarest of the common words has if not.
 
 A cosine of at least 0.6 names a licence. A file whose whole text reaches that is a licence file, and speaks
 for its directory; its own licence is that of the whole. Other files' own licence is that of their best
@@ -26,6 +27,8 @@ whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +42,8 @@ LEAST_COSINE = 0.6
 TELLING, TELLING_FILES, LEAST_TERMS = 0.1, 50, 2
 #: The part of a template's squared weights without which no cosine reaches the least, rounding left aside.
 COVERED = LEAST_COSINE**2 * (1 - 1e-6)
+#: The most frequent words, templates' aside, that are told from rarer ones where only the least weight of a word counts.
+COMMON_WORDS = 1000
 #: The part of a line's words that are template words from which on it does not count as a use of them.
 MOSTLY = 0.75
 #: Other lines that may lie between two lines of a block.
@@ -165,6 +170,34 @@ def units(files: DataFrame, lines: DataFrame, telling: list[str], shares: DataFr
     return each.select("doc_id", "path", "x.scope", words_of(F.col("x.body")).alias("words"))
 
 
+def reaching(found: DataFrame, models: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """(unit) of all units that may be near enough to a template: what they share with it is counted whole, and of
+    their other words only the least that they can weigh. No unit that reaches the least cosine is left out."""
+    idf = F.log(F.lit(float(n + 1)) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    tf_models = models.select("template", F.explode("words").alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
+    of_models = pointed(tf_models.join(df, "term", "left").select("template", "term", idf.alias("idf"), (F.col("tf") * idf).alias("v")))  # the templates' words
+    own = [r.term for r in of_models.select("term").distinct().collect()]
+    top = df.where(~F.col("term").isin(own)).orderBy(F.desc("df")).limit(COMMON_WORDS).collect()
+    common = [r.term for r in top]
+    rarest = math.log((n + 1) / (min((r.df for r in top), default=0) + 1)) + 1
+    # Words k times in all, d of them different, have squared counts of k^2 / d at least; and of k.
+    rare = F.filter("words", lambda x: ~x.isin(own + common))
+    facts = found.select("unit", F.size(F.filter("words", lambda x: x.isin(common))).alias("often"), F.explode(F.array(rare)).alias("rare"))
+    seldom = F.col("n") * F.col("n") / F.greatest(F.col("d"), F.lit(1)) * rarest**2
+    facts = facts.select("unit", "often", F.size("rare").alias("n"), F.size(F.array_distinct("rare")).alias("d")).select("unit", (F.col("often") + seldom).alias("other"))
+    # Copies of a unit are counted with it.
+    facts = facts.groupBy("unit").agg(F.count("*").alias("copies"), F.min("other").alias("other"))
+    tf = found.select("unit", F.explode(F.filter("words", lambda x: x.isin(own))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    w = tf.join(F.broadcast(of_models.select("term", "idf").distinct()), "term").select("unit", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weights = w.groupBy("unit").agg(F.sum(F.col("w") * F.col("w")).alias("squares"), F.collect_list(F.struct("term", "w")).alias("shared"))  # at most the templates' words
+    norm = F.sqrt(F.col("squares") + F.col("other") * F.col("copies") * F.col("copies"))
+    lengths = of_models.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+    m = F.broadcast(of_models.join(lengths, "template").select("template", "term", (F.col("v") / F.col("length")).alias("v")))
+    dots = weights.join(facts, "unit").select("unit", norm.alias("norm"), F.inline("shared")).join(m, "term")
+    near = dots.groupBy("unit", "norm", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot")).where(F.col("dot") >= F.col("norm") * (LEAST_COSINE * (1 - 1e-6)))
+    return pointed(near.select("unit").distinct())
+
+
 def best_templates(found: DataFrame, models: DataFrame, df: DataFrame, n: int) -> DataFrame:
     """(unit, license, cosine) of every distinct unit that is near enough to a template. Equal texts are one unit."""
     each = found.select("unit", "words").dropDuplicates(["unit"])
@@ -204,7 +237,8 @@ def scan(files: DataFrame) -> DataFrame:
     found = units(files, lines, telling_terms(models, df, n, lines), weight_shares(models, df, n)).withColumn("unit", F.xxhash64(F.array_sort("words"), F.size("words")))
     found = written(found, "units")
     released(spark, lines)
-    best = best_templates(found, models, df, n)
+    near = reaching(found, models, df, n)
+    best = best_templates(attached(found, near, "unit"), models, df, n)
     hits = attached(found.select("doc_id", "path", "scope", "unit"), best, "unit")
     own = hits.groupBy("doc_id", "path").agg(F.min(F.struct("scope", (-F.col("cosine")).alias("c"), "license")).alias("b"))
     own = pointed(own.select("doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), (F.col("b.scope") == 0).alias("is_file")))
