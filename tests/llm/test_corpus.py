@@ -265,6 +265,31 @@ def test_crowds_write_only_what_may_be_alike(spark, monkeypatch):
     assert lines >= 200 and len(want) == 24 and want <= pairs and len(pairs) <= lines
 
 
+def test_lines_of_a_crowd_meet_once(spark, monkeypatch):
+    """Long lines that share a passage, and most rare pairs of words with their near copies: the join of a crowd makes one
+    row for two lines, however many of these they share."""
+    passage, rows = prose(840, 18), []
+    for k in range(30):
+        w = prose(2600 + k, 30).split(" ")
+        rows += [(5 * k + v, " ".join([*w[: 5 * v], f"other{v}", *w[5 * v + 1 :], passage]), "a") for v in range(5)]
+    docs = table(spark, rows)
+    texts = line_dedup.pointed(line_dedup._texts(docs, line_dedup.occurrences(docs).select("line", "doc_id", "version", "place")))
+    crowd = texts.select(F.lit(1).alias("key"), "line", "words", "size", "sim", F.col("line").alias("component"))
+    made, found = [], line_dedup._meetings
+
+    def spied(rows, by, also, like):
+        out = found(rows, by, also, like)
+        if "parity0" in also:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "_meetings", spied)
+    none = spark.createDataFrame([], "line long, component long")
+    assert line_dedup.crowded_pairs(crowd, none, texts).count() == 30 * 10 == made[0]
+    monkeypatch.setattr(line_dedup, "EARLIER", 0)  # every key that two lines share
+    assert line_dedup.crowded_pairs(crowd, none, texts).count() == 30 * 10 < made[1] / 5
+
+
 def test_line_recall(spark, sf_dir):
     """Of all pairs of lines that share a pair of words that is not very common and are alike, nine in ten are in one
     group; lines in one group are joined by pairs that are alike."""
