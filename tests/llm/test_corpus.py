@@ -1,9 +1,11 @@
 """Near copies, lines, mixing, licences and archives against plain Python."""
 
+import gc
 import hashlib
 import itertools
 import math
 import random
+import subprocess
 from collections import Counter
 
 import duckdb
@@ -12,7 +14,7 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import components, license_scan, line_dedup, mixing, ngram_join, queries, warc
+from tickloom.llm import components, license_scan, line_dedup, mixing, ngram_join, queries, scratch, warc
 
 from .conftest import lower, prose, table, words
 
@@ -290,6 +292,22 @@ def test_lines_of_a_crowd_meet_once(spark, monkeypatch):
     assert line_dedup.crowded_pairs(crowd, none, texts).count() == 30 * 10 < made[1] / 5
 
 
+def test_lists_of_scratch_files_go_with_their_tables(spark):
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+
+    def held():
+        gc.collect()
+        shown = subprocess.run(["jmap", "-histo:live", str(pid)], capture_output=True, text=True, check=True).stdout
+        return sum(int(x.split()[1]) for x in shown.splitlines() if "LocatedFileStatus" in x)
+
+    before, managed = held(), spark.conf.get(scratch.CACHES_LISTS)
+    for _ in range(3):
+        assert scratch.pointed(spark.range(100).repartition(100)).count() == 100
+    assert held() - before < 100 and spark.conf.get(scratch.CACHES_LISTS) == managed
+    cached = [spark.read.parquet(scratch.pointed(spark.range(100).repartition(100)).scratch_at) for _ in range(2)]
+    assert held() - before >= 200 and len(cached) == 2  # it is counted rightly
+
+
 def test_line_recall(spark, sf_dir):
     """Of all pairs of lines that share a pair of words that is not very common and are alike, nine in ten are in one
     group; lines in one group are joined by pairs that are alike."""
