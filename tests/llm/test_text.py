@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from tickloom.llm import bpe_count, fingerprint, katz, packing, quality
 
-from .conftest import lower, table, words
+from .conftest import lower, prose, table, words
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -177,6 +177,18 @@ def test_katz(spark, odd, odd_rows, empty, monkeypatch, order, least_context):
         assert katz.score(odd.where("doc_id is null")).count() == 0
 
 
+def test_katz_keeps_every_context_by_default(spark, odd, odd_rows, monkeypatch):
+    """Also contexts that training has once, whether one block has them or several, with words in common or not."""
+    rows = odd_rows + [(700 + k, f"once{k // 2} then{k // 2} last{k} {prose(k // 3, 9)} the end", "a") for k in range(40)]
+    docs = odd.union(table(spark, rows[len(odd_rows) :]))
+    for block, order in ((50, katz.ORDER), (katz.BLOCK_TOKENS, katz.ORDER), (50, 4)):
+        monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
+        got = sorted(map(tuple, katz.score(docs.repartition(3), order).collect()))
+        want = sorted(katz_by_hand(rows, order, 1))
+        assert [g[:5] for g in got] == [w[:5] for w in want]
+        assert [g[5:] for g in got] == [pytest.approx(w[5:], rel=1e-9) for w in want]
+
+
 def test_katz_without_training(spark):
     """Of documents that all are held out every token has probability 1."""
     held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 1][:5]
