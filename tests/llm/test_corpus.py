@@ -292,6 +292,31 @@ def test_lines_of_a_crowd_meet_once(spark, monkeypatch):
     assert line_dedup.crowded_pairs(crowd, none, texts).count() == 30 * 10 < made[1] / 5
 
 
+def test_words_of_one_component_bring_no_places(spark, monkeypatch):
+    """Near copies that are joined already share most rare pairs of words, with each other alone: in a crowd these are not
+    looked at, and copies that are still apart are all found."""
+    passage, rows = prose(860, 18), []
+    for k in range(30):
+        w = prose(2800 + k, 30).split(" ")
+        rows += [(5 * k + v, " ".join([*w[: 5 * v], f"other{v}", *w[5 * v + 1 :], passage]), "a") for v in range(5)]
+    docs = table(spark, rows)
+    texts = line_dedup.pointed(line_dedup._texts(docs, line_dedup.occurrences(docs).select("line", "doc_id", "version", "place")))
+    line = {r.norm: r.line for r in texts.collect()}
+    group = [[line[normal(t)] for _, t, _ in rows[5 * k : 5 * k + 5]] for k in range(30)]
+    labels = spark.createDataFrame([(x, min(g)) for g in group[:20] for x in g], "line long, component long")
+    crowd = texts.select(F.lit(1).alias("key"), "line", "words", "size", "sim", F.col("line").alias("component"))
+    dealt, found = [], line_dedup._dealt
+
+    def spied(rows, also, like):
+        dealt.extend(r.line for r in rows.select("line").collect() if "parity0" in also)
+        return found(rows, also, like)
+
+    monkeypatch.setattr(line_dedup, "_dealt", spied)
+    pairs = {(r.a, r.b) for r in line_dedup.crowded_pairs(crowd, labels, texts).collect()}
+    assert pairs == {(min(x), max(x)) for g in group[20:] for x in itertools.combinations(g, 2)}
+    assert set(dealt) == {x for g in group[20:] for x in g}
+
+
 def test_lists_of_scratch_files_go_with_their_tables(spark):
     pid = spark._jvm.java.lang.ProcessHandle.current().pid()
 
