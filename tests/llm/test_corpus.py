@@ -317,6 +317,55 @@ def test_words_of_one_component_bring_no_places(spark, monkeypatch):
     assert set(dealt) == {x for g in group[20:] for x in g}
 
 
+def test_texts_are_looked_up_in_parts(spark, monkeypatch, tmp_path):
+    """Lines are looked up of a part of the documents at a time, each once though rows repeat, and when the documents are
+    sent for the last time no table of lines is left on disk."""
+    rows = [(k, f"{prose(8000 + k // 2, 20)} {k}\n{prose(8100 + k, 15)}", "a") for k in range(60)] + [(None, prose(8000, 20), "a")]
+    docs = table(spark, rows + rows[:9])
+    made, found = [], line_dedup._texts
+
+    def spied(part, wanted):
+        out = found(part, wanted)
+        made.append({r.line for r in out.collect()})
+        assert len(made[-1]) == out.count() == wanted.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "_texts", spied)
+    monkeypatch.setattr(line_dedup, "PART_LINES", 10)
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = line_dedup.dedup_lines(docs)
+    assert len(made) == line_dedup.TEXT_PARTS and sum(map(len, made)) == len(set().union(*made)) >= 60
+    assert not {x.name.split("-")[0] for x in tmp_path.iterdir()} & {"occurrences", "texts", "keyed", "pairs", "symbols"}
+    left = {r.doc_id: r.text for r in out.collect()}
+    assert left == {i: prose(8000, 20) if i is None else t if i % 2 == 0 and i else t.split("\n")[1] for i, t, _ in rows}
+
+
+def test_lines_are_sent_where_there_are_others(spark, monkeypatch):
+    """Of a crowd's key a line is only sent to lengths at which there are lines of another component."""
+    size = [20, 21, 200, 205, 2000, 2100, 9000]  # the two of 200 are in one component
+    rows = [(1, k, 10, n, 0, {3: 2}.get(k, k)) for k, n in enumerate(size)] + [(2, 10 + k, 10, 50, 0, 10 + k) for k in range(5)]
+    rows = spark.createDataFrame(rows, "key long, line long, words int, size int, sim long, component long")
+    sent, found = [], line_dedup._meetings
+
+    def spied(dealt, *how):
+        sent.extend((r.line, x.band, x.salt) for r in dealt.collect() for x in r.to)
+        return found(dealt, *how)
+
+    monkeypatch.setattr(line_dedup, "_meetings", spied)
+    monkeypatch.setattr(line_dedup, "TASK_LINES", 2)
+    pairs = {(r.a, r.b) for r in line_dedup._dealt(rows, (), None).collect()}
+    assert pairs == {(0, 1), (4, 5)} | set(itertools.combinations(range(10, 15), 2))
+    assert {x for x, _, _ in sent} == {1, 5, *range(10, 15)}  # the shorter lines of a pair stay in their own bands
+    assert sorted(x[2] for x in sent if x[0] == 10) == [0, 1, 2]  # five lines are dealt to three tasks
+
+
+def test_more_links_join_components(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "line long, component long")
+    more = spark.createDataFrame([(2, 6), (7, 9), (11, 12), (8, 9)], "a long, b long")
+    assert {tuple(r) for r in components.joined_labels(labels, more).collect()} == {(1, 1), (2, 1), (5, 1), (6, 1), (7, 7), (8, 7), (9, 7), (11, 11), (12, 11)}
+    assert components.joined_labels(labels, more.where("a = b")) is labels
+
+
 def test_lists_of_scratch_files_go_with_their_tables(spark):
     pid = spark._jvm.java.lang.ProcessHandle.current().pid()
 
