@@ -9,12 +9,13 @@ import subprocess
 from collections import Counter
 
 import duckdb
+import public_tokenizers
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import components, license_scan, line_dedup, mixing, ngram_join, queries, scratch, warc
+from tickloom.llm import components, license_scan, line_dedup, mixing, ngram_join, packing, quality, queries, scratch, warc
 
 from .conftest import lower, prose, table, words
 
@@ -382,6 +383,19 @@ def test_lists_of_scratch_files_go_with_their_tables(spark):
     assert held() - before >= 200 and len(cached) == 2  # it is counted rightly
 
 
+def test_heaps_are_collected_before_python_workers_start(spark, odd):
+    """By tasks, so on executors, whose heaps else stay as large as earlier steps made them."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(x.getCollectionCount() for x in beans if "Old" in x.getName() or "MarkSweep" in x.getName())
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20, 50)], "doc_id long, quality int")
+    before = whole()
+    assert quality.train(odd, labels).weights is not None
+    assert whole() - before >= 3  # the driver at both ends, and the tasks
+    before = whole()
+    assert packing.pack(odd, public_tokenizers.path("byte_bpe_50k.json")).count() >= odd.count()
+    assert whole() - before >= 2
+
+
 def test_line_recall(spark, sf_dir):
     """Of all pairs of lines that share a pair of words that is not very common and are alike, nine in ten are in one
     group; lines in one group are joined by pairs that are alike."""

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .arrays import U, Words, chunks, freed, shingle_sets, tidy, utf8
 from .components import component_labels
 from .joins import attached
-from .scratch import pointed, released, written
+from .scratch import pointed, released, shrunk, written
 
 N = 5
 #: The threshold as a fraction of integers: 100 * intersection >= 80 * union.
@@ -392,6 +392,7 @@ def crowd_tries(marked: DataFrame, tokens: DataFrame) -> DataFrame:
 def ngram_components(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, n_shingles, class and component_id (the smallest doc_id that links reach) of every document."""
     spark = docs.sparkSession
+    shrunk(spark)
     described = written(describe(docs, n), "shingles")
     documents = described.where("class is not null").select("doc_id", "n_shingles", "class")
     classes = documents.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
@@ -409,7 +410,7 @@ def ngram_components(docs: DataFrame, n: int = N) -> DataFrame:
     labels = spark.createDataFrame([], "class long, component long")
     links = written(linked(dealt_to_tries(hub_pairs(shared)), docs, reps, labels, n), "links")
     labels = component_labels(links)
-    released(spark)
+    shrunk(spark)
     marked, open_ = open_tokens(shared, labels)
     tries = dealt_to_tries(written(open_pairs(marked, open_.where(F.col("m") <= CROWD).select("token")), "rest"))
     crowded = open_.where(F.col("m") > CROWD).select("token")

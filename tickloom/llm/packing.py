@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from .arrays import chunks, tidy
 from .bpe_count import byte_symbols
-from .scratch import written
+from .scratch import shrunk, written
 
 WINDOW = 2048
 END_ID = 1
@@ -185,6 +185,7 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
     """Every piece with its sequence and offset."""
     spark = docs.sparkSession
+    shrunk(spark)
     pieces = written(cut(docs, vocabulary, window), "pieces")
     salts = max(8, -(-pieces.count() // RANKED))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))

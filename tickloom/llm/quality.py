@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SPACE, U, VALUE_EXACT, Words, chunks, mixed, span_hashes, tidy, utf8, windows
-from .scratch import released
+from .scratch import released, shrunk
 
 #: Labelled rows that training reads at most, taken in the order of a hash of doc_id.
 MAX_TRAIN_ROWS = 3000
@@ -159,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, st
 
     The driver holds the hashed features of the sample, which are at most max_rows * 2**(BITS + 1) numbers and a few MB
     in texts of ordinary length, and goes over them in slices."""
+    shrunk(docs.sparkSession)
     rows = labelled(docs, labels, max_rows).mapInArrow(_examples, "doc_id long, good int, ids binary, vals binary").toArrow().sort_by("doc_id")
     sample = Sample(rows)
     del rows
