@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -189,6 +190,23 @@ def test_katz_keeps_every_context_by_default(spark, odd, odd_rows, monkeypatch):
         assert [g[5:] for g in got] == [pytest.approx(w[5:], rel=1e-9) for w in want]
 
 
+def test_katz_takes_little_memory_for_a_block():
+    """Of its n-grams and what they are made by, in a block without repeats that are worth mentioning."""
+    n, r = 200_000, np.random.default_rng(1)
+    vocab = np.sort(r.integers(1, 1 << 63, 50_000).astype(np.uint64))
+    lengths = np.full(n // 500, 500)
+    row = {"g": 0, "block": 0, "doc_ids": list(range(len(lengths))), "held": np.zeros(len(lengths), bool).tobytes(), "vocab": vocab.tobytes()}
+    b = katz.Block(row | {"ids": r.integers(0, len(vocab), n).astype(np.uint32).tobytes(), "lengths": lengths.tobytes()})
+    few = np.zeros(0, np.uint64)
+    tracemalloc.start()
+    pairs = b.pairs(12, few)
+    longer = b.longer(pairs, 12, few)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs.context) > 0.9 * n and len(longer.context) > 0.9 * n
+    assert most < 120 * n
+
+
 def test_katz_without_training(spark):
     """Of documents that all are held out every token has probability 1."""
     held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 1][:5]
