@@ -318,6 +318,60 @@ def test_words_of_one_component_bring_no_places(spark, monkeypatch):
     assert set(dealt) == {x for g in group[20:] for x in g}
 
 
+def test_pairs_that_last(spark):
+    """Held against all edits of like lines: the pairs that are looked at never all change, and one less might."""
+    r, cases = random.Random(4), []
+    for words in [w for w in range(12, 34) for _ in range(12)]:
+        at = [i for i in range(words - 1) if r.random() < r.choice((0.3, 0.6, 0.9))] or [0]
+        cases.append((len(cases), words, r.sample(at, len(at))))
+    ordered = spark.createDataFrame(cases, "id int, words int, places array<int>").withColumn("all", F.transform("places", lambda at: F.struct(at.alias("at"))))
+    got = {x.id: x.n for x in ordered.select("id", line_dedup.lasting(F.col("words"), F.col("all")).alias("n")).collect()}
+
+    def lasts(words, chosen):
+        for more in range(words):
+            if (edits := (words + more) // 4) < more:
+                continue
+            twos, open_ = 0, False
+            for i in range(words - 1):
+                twos, open_ = twos + (i in chosen and open_), i in chosen and not open_
+            if len(chosen) <= edits + min(edits - more, twos):
+                return False
+        return True
+
+    most = 0
+    for k, words, places in cases:
+        others = set(range(words - 1)) - set(places)
+        least = next(n for n in range(len(places) + 1) if lasts(words, others | set(places[:n])))
+        most += max(0, 2 * ((words + 1) // 4) + 1 - len(others))
+        assert lasts(words, others | set(places[: got[k]])) and least <= got[k] <= least + 1
+    assert sum(got.values()) < 0.8 * most
+
+
+def test_scattered_rare_words_spare_places(spark, monkeypatch):
+    """Lines of phrases that many lines have, each line in an order of its own: most edits change but one of the pairs of
+    words between phrases, which no other line has, so that only near copies are looked at. All copies are found."""
+    r, phrases = random.Random(5), [prose(8800 + k, 2) for k in range(400)]
+    rows = [(k, [x for phrase in r.sample(phrases, 30) for x in phrase.split(" ")], "a") for k in range(50)]
+    rows += [(1000 + k, [*w[:20], "changed", *w[21:40], "again", *w[41:]], "a") for k, w, _ in rows[:10]]
+    rows = [(k, " ".join(w), "a") for k, w, _ in rows]
+    docs = table(spark, rows)
+    texts = line_dedup.pointed(line_dedup._texts(docs, line_dedup.occurrences(docs).select("line", "doc_id", "version", "place")))
+    line = {r.norm: r.line for r in texts.collect()}
+    crowd = texts.select(F.lit(1).alias("key"), "line", "words", "size", "sim", F.col("line").alias("component"))
+    dealt, found = [], line_dedup._dealt
+
+    def spied(rows, also, like):
+        dealt.extend(r.line for r in rows.select("line").collect() if "parity0" in also)
+        return found(rows, also, like)
+
+    monkeypatch.setattr(line_dedup, "_dealt", spied)
+    pairs = {(r.a, r.b) for r in line_dedup.crowded_pairs(crowd, spark.createDataFrame([], "line long, component long"), texts).collect()}
+    of = {k: line[normal(t)] for k, t, _ in rows}
+    copies = [of[k] for k in of if k >= 1000 or k < 10]
+    assert {(min(x), max(x)) for x in ((of[k], of[1000 + k]) for k in range(10))} <= pairs
+    assert set(copies) <= set(dealt) and len(set(dealt)) < 35
+
+
 def test_texts_are_looked_up_in_parts(spark, monkeypatch, tmp_path):
     """Lines are looked up of a part of the documents at a time, each once though rows repeat, and when the documents are
     sent for the last time no table of lines is left on disk."""
@@ -360,6 +414,24 @@ def test_lines_are_sent_where_there_are_others(spark, monkeypatch):
     assert sorted(x[2] for x in sent if x[0] == 10) == [0, 1, 2]  # five lines are dealt to three tasks
 
 
+def test_lines_of_a_small_crowd_are_sent_once(spark, monkeypatch):
+    """Whatever their lengths, if a task may hold all lines of the key."""
+    rows = [(1, k, 10, 100 + 2 * k, 0, k % 3) for k in range(40)] + [(2, 50 + k, 10, 50 + 60 * k, 0, k) for k in range(5)]
+    frame = spark.createDataFrame(rows, "key long, line long, words int, size int, sim long, component long")
+    sent, found = [], line_dedup._meetings
+
+    def spied(dealt, *how):
+        sent.append([len(r.to) for r in dealt.collect()])
+        return found(dealt, *how)
+
+    monkeypatch.setattr(line_dedup, "_meetings", spied)
+    pairs = {(r.a, r.b) for r in line_dedup._dealt(frame, (), None).collect()}
+    want = {(x[1], y[1]) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and x[5] != y[5] and abs(x[3] - y[3]) <= max(x[3], y[3]) * 2 // 10}
+    assert pairs == want and len(want) > 100 and set(sent[0]) == {0, 1}
+    monkeypatch.setattr(line_dedup, "TASK_LINES", 3)
+    assert {(r.a, r.b) for r in line_dedup._dealt(frame, (), None).collect()} == want and max(sent[1]) > 2
+
+
 def test_more_links_join_components(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "line long, component long")
     more = spark.createDataFrame([(2, 6), (7, 9), (11, 12), (8, 9)], "a long, b long")
