@@ -432,6 +432,23 @@ def test_lines_of_a_small_crowd_are_sent_once(spark, monkeypatch):
     assert {(r.a, r.b) for r in line_dedup._dealt(frame, (), None).collect()} == want and max(sent[1]) > 2
 
 
+def test_copies_are_compared_with_the_smallest_first(spark, monkeypatch):
+    """Of a group of copies any two are a pair: most are in one component before they are compared. Pairs that only
+    later lines are in are compared as well."""
+    pairs = [*itertools.combinations(range(12), 2), (20, 21), (20, 22), (21, 22)]
+    compared = []
+
+    def verified(pairs, texts):
+        compared.append({(r.a, r.b) for r in pairs.collect()})
+        return pairs.where("a != 20")
+
+    monkeypatch.setattr(line_dedup, "verified", verified)
+    labels = spark.createDataFrame([(5, 5), (30, 5)], "line long, component long")
+    got = {r.line: r.component for r in line_dedup.labels_with(spark.createDataFrame(pairs, "a long, b long"), labels, None).collect()}
+    assert got == dict.fromkeys([*range(12), 30], 0) | {21: 21, 22: 21}
+    assert compared == [{*((0, k) for k in range(1, 12)), (20, 21), (20, 22)}, {(21, 22)}]
+
+
 def test_more_links_join_components(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "line long, component long")
     more = spark.createDataFrame([(2, 6), (7, 9), (11, 12), (8, 9)], "a long, b long")
